@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["scalar_queries", "source_queries", "timetable_queries"]
+FAMILIES = ["scalar_queries", "source_queries", "timetable_queries", "join_queries"]
 
 
 def load():

@@ -239,7 +239,7 @@ def _packets(spark, sf):
 
 @query(
     "P4",
-    """SELECT p.row_id, v.tr_id, round(timestamp + 3600.5, 3) AS t, extra_dop & 128 > 0 AS location_valid,
+    """SELECT p.row_id, v.tr_id, CAST(timestamp + 3600.5 AS DOUBLE) AS t, extra_dop & 128 > 0 AS location_valid,
        CASE WHEN extra_dop & 128 > 0 THEN (CASE WHEN extra_dop & 32 > 0 THEN 1 ELSE -1 END) * latitude / 1e7::DOUBLE END AS lat,
        CASE WHEN extra_dop & 128 > 0 THEN (CASE WHEN extra_dop & 64 > 0 THEN 1 ELSE -1 END) * longitude / 1e7::DOUBLE END AS lon,
        CAST(speed_avg AS DOUBLE) AS speed_kmh, CASE WHEN course <= 360 THEN CAST(course AS DOUBLE) END AS heading_deg

@@ -24,6 +24,24 @@ def asof_join(
     NULLs. Nothing is multiplied: both sides meet in one union scanned in time order, cut into
     time segments.
     """
+    found = {"__m": F.struct(*[F.col(c).alias(n) for n, c in take.items()])}
+    out = asof_many(left, right, keys, left_t, right_t, found, tie, width, strict)
+    return out.select(*left.columns, *[F.col(f"__m.{n}").alias(n) for n in take])
+
+
+def asof_many(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_t: str,
+    right_t: str,
+    take: dict[str, Column],
+    tie: list[str] = (),
+    width: float = TRACK_SEGMENT_S,
+    strict: bool = False,
+) -> DataFrame:
+    """Several as-of lookups in one scan: each ``take`` is an expression over the right table, and
+    the last right row where it is not null supplies the value."""
     left_side, right_side = (0, 1) if strict else (1, 0)
     l_rows = left.select(
         *keys,
@@ -37,14 +55,15 @@ def asof_join(
         F.col(right_t).cast("double").alias("__t"),
         F.lit(right_side).alias("__side"),
         *[F.col(c).alias(f"__tie{i}") for i, c in enumerate(tie)],
-        F.struct(*[F.col(c).alias(n) for n, c in take.items()]).alias("__r"),
+        *[c.alias(f"__r_{n}") for n, c in take.items()],
     )
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     order = ["__t", "__side", *[f"__tie{i}" for i in range(len(tie))]]
-    out = running(both, keys, order, [bucket("__t", width)], {"__m": ("last", F.col("__r"))})
+    outs = {f"__m_{n}": ("last", F.col(f"__r_{n}")) for n in take}
+    out = running(both, keys, order, [bucket("__t", width)], outs)
     return out.where(F.col("__side") == left_side).select(
         *[F.col(f"__l.{c}").alias(c) for c in left.columns],
-        *[F.col(f"__m.{n}").alias(n) for n in take],
+        *[F.col(f"__m_{n}").alias(n) for n in take],
     )
 
 

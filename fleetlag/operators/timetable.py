@@ -28,7 +28,7 @@ def stop_order(plan: DataFrame, t: str = "t_plan") -> DataFrame:
 
 
 def prepare_plan(plan: DataFrame) -> DataFrame:
-    """Add ``pos, gap_s, step_m, trip, seq, trip_len, cum_m, key`` to planned stops.
+    """Add ``pos, gap_s, step_m, trip, seq, trip_len, cum_m, lay_cum_s, key`` to planned stops.
 
     A trip starts at a vehicle's first stop and after every planned pause of seven minutes or
     more. Two split scans (previous stop, then running trip and distance) and one count per trip.
@@ -59,6 +59,10 @@ def prepare_plan(plan: DataFrame) -> DataFrame:
         {
             "trip": ("sum", F.col("__start").cast("long")),
             "cum_m": ("sum", "step_m"),
+            "lay_cum_s": (
+                "sum",
+                F.when(F.col("gap_s") >= S.LAYOVER_GAP_S, F.col("gap_s")).otherwise(0.0),
+            ),
             "__first": ("max", F.when(F.col("__start"), F.col("pos"))),
         },
     )
