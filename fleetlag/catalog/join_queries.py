@@ -13,6 +13,7 @@ from fleetlag.operators.routes import route_ids as route_ids_
 from fleetlag.plans import features as FE
 from fleetlag.plans import live as L
 from fleetlag.plans import targets as TG
+from fleetlag.session import cut_lineage
 
 
 def ticks(spark, sf):
@@ -90,9 +91,10 @@ POINT_VIEWS = {
 
 @query("J6", "SELECT sample_id, pos, round(d, 3) AS d FROM f_near", POINT_VIEWS)
 def route_position(spark, sf):
-    prepared = TT.prepare_plan(D.plan(spark, sf))
+    prepared = cut_lineage(TT.prepare_plan(D.plan(spark, sf)))
     p = D.points(spark, sf).withColumn("T_cut", F.col("T"))
-    base = FE.with_last_fixes(FE.with_plan_context(p, prepared), ticks(spark, sf))
+    base = cut_lineage(FE.with_plan_context(p, prepared))
+    base = FE.with_last_fixes(base, ticks(spark, sf))
     near = FE.route_positions(base, prepared)
     return near.select("sample_id", "near.pos", F.round("near.d", 3).alias("d"))
 

@@ -6,10 +6,13 @@ left, a short array per stop, is folded in timetable order, because an arrival b
 the next stop and the last delay moves the expected time.
 """
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlag import settings as S
 from fleetlag.functions import scalars as X
@@ -165,31 +168,26 @@ def known_arrivals(points: DataFrame, prepared: DataFrame, telemetry: DataFrame)
     )
     schema = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("known", KNOWN)])
 
-    def answer(asked_pdf: pd.DataFrame, stops_pdf: pd.DataFrame) -> pd.DataFrame:
-        stops_pdf = stops_pdf.sort_values(["t_plan", "stop_id"])
-        day = stops_pdf.to_dict("records")
-        times = stops_pdf["t_plan"].to_numpy()
-        ids, known = [], []
-        for p in asked_pdf.to_dict("records"):
-            lo = times.searchsorted(p["T"] - S.HISTORY_S, side="left")
-            hi = times.searchsorted(p["T"] + S.EARLY_LOOKAHEAD_S, side="right")
+    arrow = to_arrow_schema(schema)
+
+    def answer(asked_rows: pa.Table, stop_rows: pa.Table) -> pa.Table:
+        day = stop_rows.sort_by([("t_plan", "ascending"), ("stop_id", "ascending")]).to_pylist()
+        times = [s["t_plan"] for s in day]
+        out = []
+        for p in asked_rows.to_pylist():
+            lo = bisect_left(times, p["T"] - S.HISTORY_S)
+            hi = bisect_right(times, p["T"] + S.EARLY_LOOKAHEAD_S)
             mine = [s for s in day[lo:hi] if s["pos"] < p["target_pos"]]
             found, _ = fold_stops(mine, p["T"] - S.HISTORY_S, p["T_cut"])
-            ids.append(p["sample_id"])
-            known.append(
-                [
-                    {
-                        "pos": s["pos"], "t_plan": s["t_plan"], "t_arr": arr, "dwell_s": dwell,
-                        "key": s["key"],
-                        "t_next": None if pd.isna(s["t_next"]) else s["t_next"],
-                    }
-                    for s, arr, dwell, _ in found
-                ]
-            )
-        return pd.DataFrame({"sample_id": ids, "known": known})
+            known = [
+                {k: s[k] for k in ("pos", "t_plan", "key", "t_next")} | {"t_arr": arr, "dwell_s": dwell}
+                for s, arr, dwell, _ in found
+            ]
+            out.append({"sample_id": p["sample_id"], "known": known})
+        return pa.Table.from_pylist(out, schema=arrow)
 
     return (
         asked.groupBy("tr_id", "seg")
         .cogroup(stops.groupBy("tr_id", "seg"))
-        .applyInPandas(answer, schema)
+        .applyInArrow(answer, schema)
     )

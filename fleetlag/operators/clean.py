@@ -168,10 +168,10 @@ def one_fix_per_time(fixes: DataFrame) -> DataFrame:
 def lose_position(points_fixes: DataFrame) -> DataFrame:
     """Cut or blank the fixes of a (point, fix) table that fall into the point's outage.
 
-    Rows carry ``T, gap_s, outage`` of the point. ``silence`` drops the fixes after ``T - gap_s``,
+    Rows carry ``at, gap_s, outage`` of the point. ``silence`` drops the fixes after ``at - gap_s``,
     ``no_position`` keeps them without coordinates; other kinds change nothing.
     """
-    lost = (F.col("t") > F.col("T") - F.col("gap_s")) & F.col("outage").isin("silence", "no_position")
+    lost = (F.col("t") > F.col("at") - F.col("gap_s")) & F.col("outage").isin("silence", "no_position")
     lost = F.coalesce(lost, F.lit(False))
     kept = points_fixes.where(~(lost & (F.col("outage") == "silence")))
     return kept.withColumns(

@@ -12,10 +12,11 @@ task, not the history.
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlag.session import cut_lineage
 
@@ -65,17 +66,19 @@ def _fold(rows, keys, seg, order, step, out_schema) -> DataFrame:
         ]
     )
     names, fields = [*keys, seg], out_schema.fieldNames()
+    arrow = to_arrow_schema(schema)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        used = pdf["__in"].iloc[0]
-        used = used if isinstance(used, str) else None
-        pdf = pdf.sort_values(order, kind="stable")
-        emitted, state = step(
-            pdf.drop(columns="__in").to_dict("records"), json.loads(used) if used else None
-        )
+    def run(key, table: pa.Table) -> pa.Table:
+        key = tuple(k.as_py() for k in key)
+        records = table.sort_by([(c, "ascending") for c in order]).to_pylist()
+        used = records[0]["__in"]
+        emitted, state = step(records, json.loads(used) if used else None)
         after = None if state is None else json.dumps(state, sort_keys=True)
-        out = [(*key, False, None, None, dict(zip(fields, e, strict=True))) for e in emitted]
-        out.append((*key, True, used, after, None))
-        return pd.DataFrame(out, columns=[*names, "__is_state", "__used", "__state", "__out"])
+        head = dict(zip(names, key, strict=True))
+        out = [
+            {**head, "__is_state": False, "__out": dict(zip(fields, e, strict=True))} for e in emitted
+        ]
+        out.append({**head, "__is_state": True, "__used": used, "__state": after})
+        return pa.Table.from_pylist(out, schema=arrow)
 
-    return rows.groupBy(*names).applyInPandas(run, schema)
+    return rows.groupBy(*names).applyInArrow(run, schema)

@@ -10,6 +10,7 @@ from fleetlag.operators.clean import lose_position
 from fleetlag.operators.joins import asof_join, asof_many, interval_join
 from fleetlag.operators.segments import PLAN_SEGMENT_S
 from fleetlag.operators.timetable import prepare_plan, refuse_facts
+from fleetlag.session import cut_lineage
 
 POSITION_WIDTH = 16
 
@@ -60,9 +61,11 @@ def timetable_columns() -> dict:
 
 
 def recent_fixes(points: DataFrame, telemetry: DataFrame, seconds: float) -> DataFrame:
-    """(point, fix) pairs with the fix in [T − seconds, T], after the point's outage if it has one."""
+    """(point, fix) pairs with the fix in [at − seconds, at], where ``at`` is the point's moment,
+    after the point's outage if it has one."""
     fixes = telemetry.select("tr_id", "t", "ok", "lat", "lon", "speed")
-    pairs = interval_join(points, fixes, ["tr_id"], F.col("T") - seconds, F.col("T"), "t", width=seconds)
+    asked = points.withColumnRenamed("T", "at")
+    pairs = interval_join(asked, fixes, ["tr_id"], F.col("at") - seconds, F.col("at"), "t", width=seconds)
     return lose_position(pairs) if "gap_s" in points.columns else pairs
 
 
@@ -115,7 +118,7 @@ def route_positions(points: DataFrame, prepared: DataFrame) -> DataFrame:
 def motion_aggregates(pairs: DataFrame) -> DataFrame:
     """Per-point counts and speed figures over (point, fix) pairs of the last fifteen minutes."""
     talks = F.col("ok") & F.col("speed").isNotNull()
-    within = lambda m: F.col("t") >= F.col("T") - 60 * m
+    within = lambda m: F.col("t") >= F.col("at") - 60 * m
     speed = lambda m: F.when(talks & within(m), F.col("speed"))
     return pairs.groupBy("sample_id").agg(
         F.count(F.lit(1)).cast("double").alias("fixes_15m"),
@@ -246,14 +249,16 @@ def build_features(points: DataFrame, plan: DataFrame, telemetry: DataFrame, hin
     refuse_facts(plan)
     if hint not in ("given", "gps"):
         raise ValueError(f"hint must be 'given' or 'gps', got {hint!r}")
-    prepared = prepare_plan(plan.select("stop_id", "tr_id", "t_plan", "lat", "lon"))
+    # Each of these feeds several scans and joins: written once, read pruned.
+    prepared = cut_lineage(prepare_plan(plan.select("stop_id", "tr_id", "t_plan", "lat", "lon")))
+    telemetry = cut_lineage(telemetry.select("tr_id", "t", "ok", "lat", "lon", "speed", "row_id"))
     outage = ["gap_s", "outage"] if "gap_s" in points.columns else []
     cut = F.col("T")
     if outage:
         lost = F.coalesce(F.col("outage").isin(*S.OUTAGE_KINDS), F.lit(False))
         cut = F.when(lost, F.col("T") - F.col("gap_s")).otherwise(F.col("T"))
-    base = with_plan_context(points.withColumn("T_cut", cut), prepared)
-    base = with_last_fixes(base, telemetry)
+    base = cut_lineage(with_plan_context(points.withColumn("T_cut", cut), prepared))
+    base = cut_lineage(with_last_fixes(base, telemetry))
     slim = base.select("sample_id", "tr_id", "T", *outage)
     known = known_arrivals(
         base.select("sample_id", "tr_id", "T", "T_cut", F.col("tgt.pos").alias("target_pos")),
@@ -288,6 +293,6 @@ def build_features(points: DataFrame, plan: DataFrame, telemetry: DataFrame, hin
 
 def timetable_features(points: DataFrame, plan: DataFrame) -> DataFrame:
     """Only the timetable features, for work that needs no telemetry."""
-    base = with_plan_context(points, prepare_plan(plan))
+    base = with_plan_context(points, cut_lineage(prepare_plan(plan)))
     columns = timetable_columns()
     return base.select(*points.columns, *[c.cast("double").alias(n) for n, c in columns.items()])

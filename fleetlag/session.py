@@ -23,6 +23,15 @@ def build_session(master: str = "local[*]", app: str = "fleetlag", shuffle: int
     )
 
 
+def ship_code() -> None:
+    """Send this package's functions to the workers by value, so that a session started from any
+    folder can run them without installing the package on every node."""
+    import fleetlag
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(fleetlag)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
