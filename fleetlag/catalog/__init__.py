@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-FAMILIES = ["scalar_queries", "source_queries", "timetable_queries", "join_queries", "metric_queries"]
+FAMILIES = [
+    "scalar_queries", "source_queries", "timetable_queries", "join_queries", "metric_queries",
+    "live_queries", "feature_queries",
+]
 
 
 def load():

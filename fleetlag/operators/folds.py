@@ -68,7 +68,7 @@ def _fold(rows, keys, seg, order, step, out_schema) -> DataFrame:
     names, fields = [*keys, seg], out_schema.fieldNames()
     arrow = to_arrow_schema(schema)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         key = tuple(k.as_py() for k in key)
         records = table.sort_by([(c, "ascending") for c in order]).to_pylist()
         used = records[0]["__in"]

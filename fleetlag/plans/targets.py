@@ -56,3 +56,24 @@ def latest_known_delay(moments: DataFrame, events: DataFrame, t: str = "T") -> D
         tie=["stop_id"],
         width=PLAN_SEGMENT_S,
     )
+
+
+def points_at(plan: DataFrame, moments: DataFrame) -> DataFrame:
+    """Points for the given moments: every vehicle that has a target then.
+
+    A stop is the possible target of moments in [t − 900, t − 600), so each stop is matched with
+    the few moments of its own five minutes instead of pairing vehicles with all moments.
+    """
+    from fleetlag.functions import scalars as X
+
+    stops = plan.select("tr_id", "stop_id", "t_plan").withColumn("one", F.lit(1))
+    times = moments.select(F.col("T").cast("double").alias("T")).distinct().withColumn("one", F.lit(1))
+    pairs = interval_join(
+        stops, times, ["one"], F.col("t_plan") - S.LEAD_MAX_S, F.col("t_plan") - S.LEAD_MIN_S, "T",
+        width=S.LEAD_MAX_S - S.LEAD_MIN_S,
+    ).where(F.col("t_plan") > F.col("T") + S.LEAD_MIN_S)
+    first = F.min(F.struct("t_plan", "stop_id")).alias("f")
+    return pairs.groupBy("tr_id", "T").agg(first).select(
+        X.sample_id("tr_id", "T").alias("sample_id"), "tr_id", "T",
+        F.col("f.stop_id").alias("target_stop_id"), F.col("f.t_plan").alias("t_target"),
+    )
