@@ -333,9 +333,9 @@ def stream_lag(spark, sf):
 
 @query(
     "T3",
-    """WITH RECURSIVE f_clk AS (SELECT DISTINCT CAST(t AS BIGINT) AS t FROM f_telemetry), ticks(t) AS (
-       SELECT min(t) FROM f_clk UNION ALL SELECT (SELECT min(c.t) FROM f_clk c WHERE c.t >= ticks.t + 60) FROM ticks WHERE (SELECT min(c.t) FROM f_clk c WHERE c.t >= ticks.t + 60) IS NOT NULL)
-       SELECT CAST(t AS DOUBLE) AS tick_t FROM ticks""",
+    """SELECT CAST(t AS DOUBLE) AS tick_t FROM (WITH RECURSIVE f_next AS MATERIALIZED (
+         SELECT a.t, min(b.t) AS n FROM (SELECT DISTINCT t FROM f_telemetry) a JOIN (SELECT DISTINCT t FROM f_telemetry) b ON b.t BETWEEN a.t + 60 AND a.t + 3600 GROUP BY a.t),
+       chain(t) AS (SELECT min(t) FROM f_telemetry UNION ALL SELECT n FROM chain JOIN f_next USING (t)) SELECT t FROM chain)""",
 )
 def scoring_ticks(spark, sf):
     from fleetlag.plans.ticks import tick_times
