@@ -5,6 +5,7 @@ from importlib import import_module
 FAMILIES = [
     "scalar_queries", "source_queries", "timetable_queries", "join_queries", "metric_queries",
     "live_queries", "feature_queries", "stateful_queries",
+    "model_queries",
 ]
 
 
