@@ -12,7 +12,7 @@ from fleetlag.operators import metrics as ME
 from fleetlag.operators import timetable as TT
 from fleetlag.plans import features as FE
 from fleetlag.plans import targets as TG
-from fleetlag.session import cut_lineage
+from fleetlag.session import cut_all, cut_lineage
 
 _MOTION = """tel_age_s fixes_15m ok_share_15m speed_mean_5m speed_mean_15m speed_max_5m stopped_share_10m standing_s
 dist_to_target_m route_offset_m gps_dist_ahead_m gps_stops_ahead eta_dev_s""".split()
@@ -36,7 +36,7 @@ def timetable_features(spark, sf):
 
 def motion_frame(points, plan, telemetry):
     """Points with the motion features only."""
-    prepared, telemetry = cut_lineage(TT.prepare_plan(plan)), cut_lineage(telemetry)
+    prepared, telemetry = cut_all(TT.prepare_plan(plan), telemetry)
     base = cut_lineage(FE.with_plan_context(points.withColumn("T_cut", F.col("T")), prepared))
     base = cut_lineage(FE.with_last_fixes(base, telemetry))
     pairs = FE.recent_fixes(base.select("sample_id", "tr_id", "T"), telemetry, 900.0)
@@ -94,15 +94,15 @@ def points_at_moments(spark, sf):
 
 @query("F1")
 def detected_arrivals(spark, sf):
-    prepared = cut_lineage(TT.prepare_plan(D.plan(spark, sf)))
-    found = A.detect_arrivals(prepared, cut_lineage(ticks(spark, sf)))
+    prepared, fixes = cut_all(TT.prepare_plan(D.plan(spark, sf)), ticks(spark, sf))
+    found = A.detect_arrivals(prepared, fixes)
     return found.select("stop_id", "tr_id", "t_arr", "dwell_s", "closest_m")
 
 
 @query("F1 A1")
 def detector_quality(spark, sf):
-    prepared = cut_lineage(TT.prepare_plan(D.plan(spark, sf)))
-    found = A.detect_arrivals(prepared, cut_lineage(ticks(spark, sf)))
+    prepared, fixes = cut_all(TT.prepare_plan(D.plan(spark, sf)), ticks(spark, sf))
+    found = A.detect_arrivals(prepared, fixes)
     return ME.arrival_quality(found, D.facts(spark, sf))
 
 

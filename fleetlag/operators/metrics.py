@@ -8,6 +8,8 @@ from fleetlag.functions import scalars as X
 from fleetlag.operators.quantiles import quantiles
 from fleetlag.operators.segments import bucket, running
 
+DRAW_BLOCK = 65_536  # draws generated by one task
+
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join per-group results; without groups both sides are one row."""
@@ -159,28 +161,34 @@ def paired_interval(
     """Bootstrap interval of the mean difference, resampling whole groups.
 
     Groups collapse to a sum and a count. A sample draws as many groups as there are, by a hash of
-    (seed, sample, draw), so a lost executor draws the same again. Draws are numbered rows joined
-    to numbered groups; every sample is a partial aggregate.
+    (seed, sample, draw), so a lost executor draws the same again. Draws are generated in blocks
+    spread over the cluster and joined to numbered groups; every sample is a partial aggregate.
     """
     spark = df.sparkSession
     sums = df.groupBy(group).agg(F.sum(difference).alias("s"), F.count(difference).alias("c"))
     numbered = running(
         sums.withColumn("__h", F.xxhash64(group)), [], ["__h", group], [F.expr("shiftright(__h, 52)")],
-        {"g": ("count", None)}, inclusive=False,
-    ).select("g", "s", "c")
-    groups = numbered.agg(F.count(F.lit(1)).alias("groups"))
+        {"__g": ("count", None)}, inclusive=False,
+    ).select("__g", "s", "c")
+    groups = numbered.agg(F.count(F.lit(1)).alias("groups"))  # one row
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(groups - 1) div {DRAW_BLOCK}"))
+    in_block = F.sequence(
+        F.col("block") * DRAW_BLOCK, F.least((F.col("block") + 1) * DRAW_BLOCK, F.col("groups")) - 1
+    )
     draws = (
         spark.range(samples)
         .withColumnRenamed("id", "sample")
         .crossJoin(F.broadcast(groups))
-        .repartition("sample")
-        .select("sample", "groups", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("groups"))).alias("draw"))
-        .select("sample", F.pmod(F.xxhash64("sample", "draw", F.lit(seed)), F.col("groups")).alias("g"))
-        .groupBy("sample", "g")
+        .where("groups > 0")
+        .select("sample", "groups", F.explode(blocks).alias("block"))
+        .repartition("sample", "block")
+        .select("sample", "groups", F.explode(in_block).alias("draw"))
+        .select("sample", F.pmod(F.xxhash64("sample", "draw", F.lit(seed)), F.col("groups")).alias("__g"))
+        .groupBy("sample", "__g")
         .agg(F.count(F.lit(1)).alias("times"))
     )
     means = (
-        draws.join(numbered, "g")
+        draws.join(numbered, "__g")
         .groupBy("sample")
         .agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("c"))).alias("mean"))
     )

@@ -10,7 +10,7 @@ from fleetlag.operators.clean import lose_position
 from fleetlag.operators.joins import asof_join, asof_many, interval_join
 from fleetlag.operators.segments import PLAN_SEGMENT_S
 from fleetlag.operators.timetable import prepare_plan, refuse_facts
-from fleetlag.session import cut_lineage
+from fleetlag.session import cut_all, cut_lineage
 
 POSITION_WIDTH = 16
 
@@ -249,19 +249,25 @@ def build_features(points: DataFrame, plan: DataFrame, telemetry: DataFrame, hin
     refuse_facts(plan)
     if hint not in ("given", "gps"):
         raise ValueError(f"hint must be 'given' or 'gps', got {hint!r}")
-    # Each of these feeds several scans and joins: written once, read pruned.
-    prepared = cut_lineage(prepare_plan(plan.select("stop_id", "tr_id", "t_plan", "lat", "lon")))
-    telemetry = cut_lineage(telemetry.select("tr_id", "t", "ok", "lat", "lon", "speed", "row_id"))
     outage = ["gap_s", "outage"] if "gap_s" in points.columns else []
     cut = F.col("T")
     if outage:
         lost = F.coalesce(F.col("outage").isin(*S.OUTAGE_KINDS), F.lit(False))
         cut = F.when(lost, F.col("T") - F.col("gap_s")).otherwise(F.col("T"))
-    base = cut_lineage(with_plan_context(points.withColumn("T_cut", cut), prepared))
-    base = cut_lineage(with_last_fixes(base, telemetry))
-    slim = base.select("sample_id", "tr_id", "T", *outage)
+    # Each of these feeds several scans and joins: written once, read pruned.
+    prepared, telemetry, points = cut_all(
+        prepare_plan(plan.select("stop_id", "tr_id", "t_plan", "lat", "lon")),
+        telemetry.select("tr_id", "t", "ok", "lat", "lon", "speed", "row_id"),
+        points.withColumn("T_cut", cut),
+    )
+    context, fixes = cut_all(
+        with_plan_context(points, prepared),
+        with_last_fixes(points.select("sample_id", "tr_id", "T", "T_cut"), telemetry),
+    )
+    base = context.join(fixes.select("sample_id", "fix", "spoke_t", "moved_t"), "sample_id")
+    slim = context.select("sample_id", "tr_id", "T", *outage)
     known = known_arrivals(
-        base.select("sample_id", "tr_id", "T", "T_cut", F.col("tgt.pos").alias("target_pos")),
+        context.select("sample_id", "tr_id", "T", "T_cut", F.col("tgt.pos").alias("target_pos")),
         prepared,
         telemetry,
     )

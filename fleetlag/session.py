@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_all(*frames: DataFrame) -> list[DataFrame]:
+    """:func:`cut_lineage` for independent frames, their jobs running side by side."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(cut_lineage, frames))
