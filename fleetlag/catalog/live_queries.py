@@ -7,7 +7,7 @@ from fleetlag.catalog.join_queries import ALERT_VIEWS, alerts, ticks
 from fleetlag.catalog.metric_queries import rounded
 from fleetlag.catalog.registry import query
 from fleetlag.functions import scalars as X
-from fleetlag.operators.segments import previous
+from fleetlag.operators.joins import beside
 from fleetlag.plans import live as L
 
 NOW = 1767685500.0  # inside the fleet day
@@ -109,8 +109,8 @@ def newest_open_alerts(spark, sf):
 @query("O2", "SELECT sample_id, t, prediction_s FROM f_predictions WHERE tr_id = (SELECT min(tr_id) FROM f_predictions) AND t >= 1767682800")
 def vehicle_predictions(spark, sf):
     p = D.predictions(spark, sf)
-    first = F.broadcast(p.agg(F.min("tr_id").alias("tr_id")))  # one row
-    return p.join(first, "tr_id").where("t >= 1767682800").orderBy(F.desc("t")).select("sample_id", "t", "prediction_s")
+    first = p.agg(F.min("tr_id")).scalar()
+    return p.where((F.col("tr_id") == first) & (F.col("t") >= 1767682800)).orderBy(F.desc("t")).select("sample_id", "t", "prediction_s")
 
 
 _ALERT_COUNTS = {
@@ -202,8 +202,8 @@ def prediction_rows(spark, sf):
 @query("T11", "SELECT row_id, t - 1800 < (SELECT min(t) FROM f_telemetry) AS warming_up FROM f_telemetry")
 def warm_up(spark, sf):
     t = D.telemetry(spark, sf)
-    since = F.broadcast(t.agg(F.min("t").alias("since")))  # one row
-    return t.crossJoin(since).select("row_id", L.warming_up("since", "t").alias("warming_up"))
+    since = t.agg(F.min("t").alias("since"))
+    return beside(t, since).select("row_id", L.warming_up("since", "t").alias("warming_up"))
 
 
 SNAP = {
@@ -267,8 +267,8 @@ def operations_row(spark, sf):
     t, p, e = _live_inputs(spark, sf)
     summary = L.fleet_summary(L.fleet_snapshot(t, p, e, D.plan(spark, sf), NOW))
     checked = L.check_predictions(p.withColumns({"actual_delay_s": F.lit(None).cast("double"), "abs_error_s": F.lit(None).cast("double")}), e)
-    row = summary.crossJoin(F.broadcast(L.alert_counts(alerts(spark, sf).withColumn("lead_time_s", F.lit(None).cast("double")))))
-    row = row.crossJoin(F.broadcast(L.accuracy(checked)))  # one-row tables
+    row = beside(summary, L.alert_counts(alerts(spark, sf).withColumn("lead_time_s", F.lit(None).cast("double"))))
+    row = beside(row, L.accuracy(checked))
     return row.select(
         (F.col("active") + F.col("stale") + F.col("offline")).alias("vehicles"), F.col("risk_red").alias("red"),
         F.col("open").alias("open_alerts"), F.round("mae_s", 6).alias("mae_s"),

@@ -10,6 +10,7 @@ from fleetlag.operators import alerts as AL
 from fleetlag.operators import clean as C
 from fleetlag.operators import detector as DT
 from fleetlag.operators import matching as M
+from fleetlag.operators.joins import beside
 from fleetlag.plans import evaluation as EV
 
 
@@ -32,7 +33,7 @@ def matcher_report(spark, sf):
     coverage = EV.coverage_report(points.withColumn("reference_s", F.col("cur_dev_s")))
     recall = EV.recall_report(M.recall_rows(D.plan(spark, sf), D.facts(spark, sf), ticks(spark, sf), events))
     names = {c: f"arrival_{c}" for c in recall.columns}
-    return rounded(coverage.crossJoin(F.broadcast(recall.withColumnsRenamed(names))))  # one row each
+    return rounded(beside(coverage, recall.withColumnsRenamed(names)))
 
 
 @query(

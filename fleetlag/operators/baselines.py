@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlag.operators.joins import beside
 from fleetlag.operators.quantiles import quantiles
 from fleetlag.operators.segments import running
 from fleetlag.session import cut_lineage
@@ -28,7 +29,7 @@ def fit_l1_lines(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     coarse = F.array_distinct(F.concat(F.sequence(F.lit(0), F.lit(last), F.lit(COARSE)), F.array(F.lit(last))))
     first = _best_slope(pairs, groups, coarse).select(*groups, F.col("__best.__i").alias("__c"))
     first = cut_lineage(first)
-    bracketed = pairs.join(first, groups) if groups else pairs.crossJoin(F.broadcast(first))
+    bracketed = pairs.join(first, groups) if groups else beside(pairs, first)
     low = F.greatest(F.col("__c") - COARSE + 1, F.lit(0))
     high = F.least(F.col("__c") + COARSE - 1, F.lit(last))
     best = _best_slope(bracketed, groups, F.sequence(low, high))
@@ -66,7 +67,7 @@ def simple_forecasts(df: DataFrame) -> DataFrame:
 def predict_line(df: DataFrame, lines: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Apply fitted lines; a group without a line uses slope 1 and intercept 0."""
     fitted = lines.select(*keys, "a", "b")
-    joined = df.join(fitted, keys, "left") if keys else df.crossJoin(F.broadcast(fitted))
+    joined = df.join(fitted, keys, "left") if keys else beside(df, fitted)
     value = F.coalesce("a", F.lit(1.0)) * F.coalesce("cur_dev_s", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))
     return joined.withColumn(name, value).drop("a", "b")
 

@@ -96,6 +96,17 @@ def interval_join(
     )
 
 
+def beside(df: DataFrame, single: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row table added to each row, as one scalar subquery.
+
+    More than one row is an error at run time, so nothing can be multiplied; none gives NULLs.
+    """
+    row = single.select(F.struct(*single.columns).alias("__row"))
+    return df.withColumn("__row", row.scalar()).select(
+        *df.columns, *[F.col(f"__row.{c}").alias(c) for c in single.columns]
+    )
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys present on one side only, with the side they came from."""
     l_keys = left.select(*keys).withColumn("__in_left", F.lit(True))

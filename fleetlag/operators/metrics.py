@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlag import settings as S
 from fleetlag.functions import scalars as X
+from fleetlag.operators.joins import beside
 from fleetlag.operators.quantiles import quantiles
 from fleetlag.operators.segments import bucket, running
 
@@ -13,7 +14,7 @@ DRAW_BLOCK = 65_536  # draws generated by one task
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join per-group results; without groups both sides are one row."""
-    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+    return left.join(right, keys) if keys else beside(left, right)
 
 
 def mae(y, p) -> Column:
@@ -151,7 +152,7 @@ def tick_report(telemetry: DataFrame, predictions: DataFrame) -> DataFrame:
     counts = predictions.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("tr_id").alias("vehicles"))
     out = per_tick.agg(F.count(F.lit(1)).alias("ticks"), F.count_if("fallback").alias("fallback_ticks"))
     for part in (counts, step, lag.drop("count").withColumnRenamed("max", "lag_max"), fit):
-        out = out.crossJoin(F.broadcast(part))
+        out = beside(out, part)
     return out
 
 
@@ -176,9 +177,7 @@ def paired_interval(
         F.col("block") * DRAW_BLOCK, F.least((F.col("block") + 1) * DRAW_BLOCK, F.col("groups")) - 1
     )
     draws = (
-        spark.range(samples)
-        .withColumnRenamed("id", "sample")
-        .crossJoin(F.broadcast(groups))
+        beside(spark.range(samples).withColumnRenamed("id", "sample"), groups)
         .where("groups > 0")
         .select("sample", "groups", F.explode(blocks).alias("block"))
         .repartition("sample", "block")

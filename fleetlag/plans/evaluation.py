@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlag import settings as S
 from fleetlag.functions import scalars as X
-from fleetlag.operators.joins import require_aligned
+from fleetlag.operators.joins import beside, require_aligned
 from fleetlag.operators.matching import late_ticks
 from fleetlag.operators.metrics import attach, error_metrics, summary
 from fleetlag.operators.quantiles import quantiles
@@ -142,5 +142,5 @@ def matcher_quality(plan: DataFrame, events: DataFrame, entries: DataFrame, done
         entries.agg(F.count_if(~F.col("ok")).alias("invalid_location"), ms.alias("__newest")),
         done.agg(ms.alias("__done")),
     ]
-    out = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one-row tables
+    out = reduce(beside, parts)
     return out.withColumn("lag_ms", F.col("__newest") - F.col("__done")).drop("__newest", "__done")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlag import settings as S
 from fleetlag.functions import scalars as X
-from fleetlag.operators.joins import interval_join
+from fleetlag.operators.joins import beside, interval_join
 from fleetlag.operators.segments import ID_SEGMENT, PLAN_SEGMENT_S, bucket, previous, running
 from fleetlag.plans.targets import latest_known_delay, pick_target
 
@@ -44,9 +44,8 @@ def history_for_recovery(records: DataFrame, window_s: float = S.TELEMETRY_WINDO
         [bucket("__back", ID_SEGMENT)], {"__clock": ("max", "t")},
     )
     old = F.col("t") < F.col("__clock") - window_s
-    edge = F.broadcast(back.where(old).agg(F.max("row_id").alias("__edge")))  # one row
-    kept = records.crossJoin(edge).where(F.col("__edge").isNull() | (F.col("row_id") >= F.col("__edge")))
-    return kept.drop("__edge")
+    edge = back.where(old).agg(F.max("row_id")).scalar()
+    return records.where(edge.isNull() | (F.col("row_id") >= edge))
 
 
 def warming_up(observed_since, t, window_s: float = S.TELEMETRY_WINDOW_S):
@@ -126,8 +125,8 @@ def score_at(records: DataFrame, plan: DataFrame, events: DataFrame, t: float, f
     """Prediction rows of one tick. ``forecast(candidates)`` answers with ``sample_id,
     prediction_s, p_late, reasons, model_version``; unanswered rows get the fallback."""
     asked = candidates_at(records, plan, events, t)
-    since = F.broadcast(records.agg(F.min("t").alias("__since")))
-    asked = asked.crossJoin(since).withColumn("warming_up", warming_up("__since", "T")).drop("__since")
+    asked = beside(asked, records.agg(F.min("t").alias("__since")))
+    asked = asked.withColumn("warming_up", warming_up("__since", "T")).drop("__since")
     plain = fallback_forecast(asked)
     if forecast is None:
         scored = plain.withColumns({"fallback": F.lit(True), "model_version": F.lit("fallback")})
@@ -420,8 +419,8 @@ def apply_messages(snapshot: DataFrame, messages: DataFrame, seq: int) -> DataFr
     numbers = later.select("seq").distinct()
     gaps = previous(numbers, [], ["seq"], [F.expr("seq div 65536")], {"before": "seq"})
     broken = gaps.where(F.col("seq") - F.coalesce("before", F.lit(seq)) > 1)
-    first_gap = F.broadcast(broken.agg(F.min("seq").alias("__stop")))
-    valid = later.crossJoin(first_gap).where(F.col("__stop").isNull() | (F.col("seq") < F.col("__stop")))
+    valid = beside(later, broken.agg(F.min("seq").alias("__stop")))
+    valid = valid.where(F.col("__stop").isNull() | (F.col("seq") < F.col("__stop")))
     cols = [c for c in snapshot.columns if c != "tr_id"]
     rows = snapshot.select("tr_id", *cols, F.lit(seq).cast("bigint").alias("seq"), F.lit(False).alias("removed")).unionByName(
         valid.select("tr_id", *cols, F.col("seq").cast("bigint").alias("seq"), "removed")
