@@ -106,10 +106,28 @@ def detector_quality(spark, sf):
     return ME.arrival_quality(found, D.facts(spark, sf))
 
 
-@query("W14")
+@query(
+    "W14",
+    """SELECT stop_id, min(t) AS from_t, max(t) AS to_t, count(*) AS fixes, round(min(d), 3) AS closest_m FROM (
+       SELECT *, n - row_number() OVER (PARTITION BY stop_id ORDER BY n) AS run FROM (SELECT p.stop_id, g.t, g.n,
+         12742000 * asin(sqrt(pow(sin((radians(p.lat) - radians(g.lat)) / 2), 2) + cos(radians(g.lat)) * cos(radians(p.lat)) * pow(sin((radians(p.lon) - radians(g.lon)) / 2), 2))) AS d
+         FROM (SELECT *, row_number() OVER (PARTITION BY tr_id ORDER BY t, row_id) AS n FROM f_clean WHERE ok) g
+         JOIN f_plan p ON p.tr_id = g.tr_id AND g.t BETWEEN p.t_plan - 420 AND p.t_plan + 900) WHERE d <= 80) GROUP BY stop_id, run""",
+)
 def stop_passes(spark, sf):
-    p = A.stop_passes(D.plan(spark, sf), cut_lineage(ticks(spark, sf)))
-    return p.select("stop_id", F.size("near").alias("fixes"), F.element_at("near", 1)["t"].alias("first_t"))
+    runs = A.pass_runs(A.stop_passes(D.plan(spark, sf), cut_lineage(ticks(spark, sf))))
+    return runs.withColumn("closest_m", F.round("closest_m", 3))
+
+
+@query(
+    "W15",
+    """SELECT sample_id, max(CASE WHEN rn = 1 THEN delay_s END) AS last_s, round(avg(CASE WHEN rn <= 3 THEN delay_s END), 6) AS mean3_s,
+       max(CASE WHEN rn = 1 THEN delay_s END) - arg_max(CASE WHEN rn <= 6 THEN delay_s END, CASE WHEN rn <= 6 THEN rn END) AS trend_s FROM (
+       SELECT p.sample_id, e.delay_s, row_number() OVER (PARTITION BY p.sample_id ORDER BY e.time_fact DESC, e.stop_id DESC) AS rn
+       FROM f_points p JOIN f_stop_events e ON e.tr_id = p.tr_id AND e.time_fact BETWEEN p.T - 9000 AND p.T) GROUP BY sample_id""",
+)
+def recent_delays(spark, sf):
+    return rounded(FE.recent_delays(D.points(spark, sf), D.stop_events(spark, sf)))
 
 
 @query("F6 F4 W15 J22")

@@ -53,13 +53,17 @@ def plan_time(spark, sf):
     )
 
 
-@query("X4")
+@query(
+    "X4",
+    """SELECT row_id, s AS local, CASE WHEN s < '2025-10-26 02' THEN epoch(CAST(s AS TIMESTAMP)) - 7200 WHEN s >= '2025-10-26 03' THEN epoch(CAST(s AS TIMESTAMP)) - 3600 END AS utc
+       FROM (SELECT row_id, strftime(make_timestamp((1761436800 + row_id % 14400) * 1000000), '%Y-%m-%d %H:%M:%S') AS s FROM f_telemetry_raw)""",
+)
 def unambiguous_time(spark, sf):
     night = F.expr("timestamp_seconds(1761436800 + row_id % 14400)")
     rows = D.telemetry_raw(spark, sf).select(
         "row_id", F.date_format(night, "yyyy-MM-dd HH:mm:ss").alias("local")
     )
-    return rows.select("row_id", "local", X.unambiguous_time("local", "Europe/Berlin").alias("utc"))
+    return rows.select("row_id", "local", X.epoch_s(X.unambiguous_time("local", "Europe/Berlin")).alias("utc"))
 
 
 @query("X5", "SELECT event_id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS t FROM events")

@@ -58,6 +58,18 @@ def stop_passes(plan: DataFrame, telemetry: DataFrame, radius_m: float = S.ARRIV
     )
 
 
+def pass_runs(passes: DataFrame) -> DataFrame:
+    """One row per pass: a stretch of consecutive fixes near a stop.
+
+    The place in the short array minus the fix number is constant inside a stretch.
+    """
+    fixes = passes.select("stop_id", F.posexplode("near").alias("i", "f"))
+    return fixes.groupBy("stop_id", (F.col("f.fix_no") - F.col("i")).alias("__run")).agg(
+        F.min("f.t").alias("from_t"), F.max("f.t").alias("to_t"),
+        F.count(F.lit(1)).alias("fixes"), F.min("f.d").alias("closest_m"),
+    ).drop("__run")
+
+
 def choose_pass(near, low, high, expected, departs):
     """Best pass among ``near`` fixes with ``low <= t <= high``.
 

@@ -224,6 +224,27 @@ def with_history_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def recent_delays(points: DataFrame, events: DataFrame, history_s: float = S.HISTORY_S) -> DataFrame:
+    """``sample_id, last_s, mean3_s, trend_s`` from the arrivals up to T within the history.
+
+    The array of a point is bounded by the arrivals of its history window.
+    """
+    asked = points.select("sample_id", "tr_id", "T")
+    facts = events.select("tr_id", "time_fact", "stop_id", "delay_s")
+    pairs = interval_join(
+        asked, facts, ["tr_id"], F.col("T") - history_s, F.col("T"), "time_fact", width=history_s / 2
+    )
+    seen = F.sort_array(F.collect_list(F.struct("time_fact", "stop_id", "delay_s"))).alias("seen")
+    sixth = F.element_at("seen", F.greatest(F.size("seen") - 5, F.lit(1)))
+    newest = F.element_at("seen", -1)
+    return pairs.groupBy("sample_id").agg(seen).select(
+        "sample_id",
+        newest["delay_s"].alias("last_s"),
+        _mean_of_last3(F.col("seen"), lambda x: x["delay_s"]).alias("mean3_s"),
+        (newest["delay_s"] - sixth["delay_s"]).alias("trend_s"),
+    )
+
+
 def gps_delay():
     """Current deviation from GPS alone, over a frame with ``known, last, near_last, fix, T``."""
     t, last = F.col("T"), F.col("last")
