@@ -16,7 +16,7 @@ from fleetlag.functions import scalars as X
 from fleetlag.operators.folds import segmented_fold
 from fleetlag.operators.segments import bucket
 
-DETECT_SEGMENT_S = 21_600
+DETECT_SEGMENT_S = 86_400
 
 EVENTS = T.StructType(
     [
@@ -168,6 +168,23 @@ def _detect_step(settings):
     return step
 
 
+def matters_until(settings):
+    """The last time at which a state can still influence a tick.
+
+    A visit lives on while valid ticks follow within the stale gap; a passed visit only hides visits
+    planned up to its own time, which no tick later than that plus the tolerance can match.
+    """
+    tol, stale = settings["visit_time_tolerance_sec"], settings["stale_after_sec"]
+
+    def until(state):
+        ends = [p[0] + tol for p in state["passed"].values()]
+        if state["visit"]:
+            ends += [state["valid"] + stale, state["visit"]["t_plan"] + tol]
+        return max(ends, default=float("-inf"))
+
+    return until
+
+
 def merge_event_log(log: DataFrame) -> DataFrame:
     """One row per visit from the arrival and departure rows, with the delay."""
     merged = log.groupBy("tr_id", "stop_id", "time_plan").agg(
@@ -185,5 +202,5 @@ def detect_stops(
     """Stop events of a recorded stream: one tick per (vehicle, time), folded in time order."""
     check_settings(settings)
     rows = with_candidates(ticks, plan, settings).withColumn("seg", bucket("t", segment_s))
-    log = segmented_fold(rows, ["tr_id"], "seg", ["t"], _detect_step(settings), EVENTS)
+    log = segmented_fold(rows, ["tr_id"], "seg", ["t"], _detect_step(settings), EVENTS, matters_until(settings))
     return merge_event_log(log)
