@@ -108,9 +108,9 @@ def route_positions(points: DataFrame, prepared: DataFrame) -> DataFrame:
         asked, stops, ["tr_id"], F.greatest(F.col("last_pos") - S.ROUTE_LOOKBACK, F.lit(0)),
         F.col("target_pos"), "pos", width=POSITION_WIDTH,
     )
-    # whole micrometres, so that equal distances tie and the first stop wins on every machine
-    d = F.round(X.haversine_m("lat", "lon", "fix.lat", "fix.lon"), 6)
-    spot = F.struct(d.alias("d"), "pos", "cum_m")
+    # whole micrometres first, so that equal distances tie and the first stop wins everywhere
+    d = X.haversine_m("lat", "lon", "fix.lat", "fix.lon")
+    spot = F.struct(F.round(d, 6).alias("rank"), "pos", d.alias("d"), "cum_m")
     return pairs.groupBy("sample_id").agg(
         F.min(spot).alias("near"),
         F.min(F.when(F.col("pos") <= F.col("last_pos") + 1, spot)).alias("near_last"),
