@@ -14,7 +14,7 @@ from fleetlag.plans import model as MO
 from fleetlag.plans.features import build_features
 from fleetlag.session import cut_lineage, scratch_path
 
-SMALL = MO.TrainConfig(iterations=6, depth=3, folds=2)
+SMALL = MO.TrainConfig(iterations=4, depth=3, folds=2)
 
 
 def _inputs(spark, sf):

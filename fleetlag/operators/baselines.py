@@ -4,12 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlag.operators.joins import beside
-from fleetlag.operators.quantiles import quantiles
-from fleetlag.operators.segments import running
+from fleetlag.operators.segments import bucket, running
 from fleetlag.session import cut_lineage
 
 SLOPES = 201  # -0.5 … 1.5 in steps of 0.01
 COARSE = 14
+RESIDUAL_SEGMENT = 1 / 8  # seconds
 
 
 def fit_l1_lines(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
@@ -45,15 +45,31 @@ def _best_slope(pairs: DataFrame, groups: list[str], slopes) -> DataFrame:
     grid = pairs.withColumn("__i", F.explode(slopes))
     grid = grid.withColumn("__r", F.col("__y") - _slope(F.col("__i")) * F.col("__x"))
     by = [*groups, "__i"]
+    n, r = F.col("__n"), F.col("__r")
     residuals = grid.groupBy(*by, "__r").agg(F.sum("__n").alias("__n"))
-    medians = quantiles(residuals, by, "__r", {"__b": ("cont", 0.5)}, weight="__n")
-    scored = (
-        residuals.join(medians, by)
-        .groupBy(*by)
-        .agg(
-            (F.sum(F.col("__n") * F.abs(F.col("__r") - F.col("__b"))) / F.sum("__n")).alias("__err"),
-            F.max("__b").alias("__b"),
-        )
+    ranked = running(
+        residuals, by, ["__r"], [bucket("__r", RESIDUAL_SEGMENT)],
+        {"__cn": ("sum", n), "__cs": ("sum", n * r), "__all": ("total", n), "__sum": ("total", n * r)},
+    )
+    # With the sums up to the median b the absolute error needs no second pass over the rows:
+    # sum |r - b| = all - 2 * below + b * (2 * count below - count).
+    spot = F.lit(0.5) * (F.col("__all") - 1)
+    at = lambda rank, c: F.max(
+        F.when((F.col("__cn") - n <= rank) & (rank < F.col("__cn")), c)
+    )
+    picked = ranked.groupBy(*by).agg(
+        at(F.floor(spot), r).alias("__lo"),
+        at(F.ceil(spot), r).alias("__hi"),
+        at(F.floor(spot), F.col("__cn")).alias("__cn"),
+        at(F.floor(spot), F.col("__cs")).alias("__cs"),
+        F.max("__all").alias("__all"),
+        F.max("__sum").alias("__sum"),
+    )
+    middle = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (spot - F.floor(spot))
+    scored = picked.withColumn("__b", middle).withColumn(
+        "__err",
+        (F.col("__sum") - 2 * F.col("__cs") + F.col("__b") * (2 * F.col("__cn") - F.col("__all")))
+        / F.col("__all"),
     )
     best = F.min_by(F.struct("__i", "__b"), F.struct(F.round("__err", 9), F.col("__i"))).alias("__best")
     return scored.groupBy(*groups).agg(best)
