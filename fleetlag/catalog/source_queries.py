@@ -1,5 +1,6 @@
 """Readers, record normalisation and cleaning over the derived text tables."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fleetlag.catalog import fleetday as D
@@ -8,6 +9,7 @@ from fleetlag.functions import scalars as X
 from fleetlag.operators import clean as C
 from fleetlag.sources import files as files_
 from fleetlag.sources import sinks
+from fleetlag.sources.packets import checksum, decode_frames
 
 ZONE = "Europe/Moscow"
 
@@ -279,10 +281,6 @@ def one_fix_per_time(spark, sf):
 
 def _seal(batches):
     """Join frame heads and payloads with the checksum of the payload between them."""
-    import pyarrow as pa
-
-    from fleetlag.sources.packets import checksum
-
     for b in batches:
         frames = []
         for row_id, head, tail, payload in zip(*[b.column(c).to_pylist() for c in ("row_id", "head", "tail", "payload")]):
@@ -301,8 +299,6 @@ def _seal(batches):
 )
 def packet_frames(spark, sf):
     """Frames built from the telemetry, some damaged, then decoded."""
-    from fleetlag.sources.packets import decode_frames
-
     def le(c, size):
         h = F.lpad(F.hex(F.col(c) if isinstance(c, str) else F.lit(c)), 2 * size, "0")
         return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
