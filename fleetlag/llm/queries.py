@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlag.llm import op4_bpe
+from fleetlag.llm import op3_license, op4_bpe, op7_quality
 from fleetlag.llm.texts import documents
 
 
@@ -11,7 +11,17 @@ def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return op4_bpe.digests(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return op3_license.scan(documents(spark, sf))
+
+
+def op7_quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return op7_quality.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op7_quality_scores": op7_quality_scores,
     "op4_bpe_round_trip": op4_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {}
