@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlag.llm import op3_license, op4_bpe, op7_quality
+from fleetlag.llm import op2_jaccard, op3_license, op4_bpe, op5_contamination, op6_suffix_array, op7_quality, op8_substrings, op10_pii
 from fleetlag.llm.texts import documents
 
 
@@ -19,7 +19,33 @@ def op7_quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return op7_quality.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return op2_jaccard.join(documents(spark, sf))
+
+
+def op5_contamination_index(spark: SparkSession, sf: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return op5_contamination.contamination(documents(spark, sf), benchmark)
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return op6_suffix_array.dedup(documents(spark, sf))
+
+
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return op8_substrings.dedup(documents(spark, sf))
+
+
+def op10_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return op10_pii.find(documents(spark, sf))
+
+
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
+    "op5_contamination_index": op5_contamination_index,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op10_pii_spans": op10_pii_spans,
     "op3_license_scan": op3_license_scan,
     "op7_quality_scores": op7_quality_scores,
     "op4_bpe_round_trip": op4_bpe_round_trip,

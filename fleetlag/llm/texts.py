@@ -130,3 +130,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """``keyed`` with a hash of the text, which tells rows of one id apart."""
+    return keyed(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash`` of one row of every distinct text: that of the smallest id."""
+    kept = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    return kept.select("k.doc_id", "k.text_hash")
+
+
+def part_count(spark: SparkSession) -> int:
+    """Parts of a packed exchange: they follow the cluster's shuffle partitions."""
+    return 2 * partitions(spark)
