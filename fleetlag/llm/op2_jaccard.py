@@ -232,9 +232,9 @@ def cross_pairs(sets: DataFrame) -> DataFrame:
     met = None
     for order, rows in enumerate(lists):
         rows = rows.join(keep, "doc_id", "left_semi")
-        l, r = rows.select("token", *[F.col(c).alias("l_" + c) for c in rows.columns[1:]]), rows
+        other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("doc_id", "n", "component")])
         pairs = (
-            l.join(r, "token")
+            other.join(rows, "token")
             .where("l_doc_id < doc_id AND l_component <> component AND 4 * least(l_n, n) >= 3 * greatest(l_n, n)")
             .select(F.col("l_doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1 << order).alias("o"))
         )
