@@ -354,3 +354,23 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
             out += [text[done:a], f"[{kind.upper()}]"]
         done = max(done, b)
     return "".join([*out, text[done:]])
+
+
+def mask(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """All rows and columns, with the spans of every text replaced by their kind; ``n_chars`` follows the text."""
+    w = train(training_regions(docs)) if weights is None else weights
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b["text"].to_pylist():
+                found = all_spans(text, base_spans(text), w) if text and _TRIGGER.search(text) else []
+                out.append(masked(text, found) if found else text)
+            columns = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            columns["text"] = pa.array(out, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    kinds = [f"`{name}` {'long' if name == 'n_chars' else kind}" for name, kind in docs.dtypes]
+    return docs.mapInArrow(run, ", ".join(kinds))

@@ -194,8 +194,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode in one pass over the texts; only counts and digests leave the task."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass over the texts; counts and digests leave the task, and ``ids`` on request."""
 
     def run(batches):
         voc = vocabulary(path)
@@ -205,8 +205,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             sha = [hashlib.sha256(",".join(map(shown.__getitem__, x)).encode()).hexdigest() for x in ids]
             back = [hashlib.sha256(voc.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(sha), pa.array(back)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                + [pa.array(ids, pa.list_(pa.int32()))] * with_ids,
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
             )
 
-    return keyed(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return keyed(docs).mapInArrow(run, schema)

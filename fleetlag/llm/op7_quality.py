@@ -17,6 +17,8 @@ document or with a null are ignored. Without positives or without documents the
 score is the prior. Other columns are ignored.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ from fleetlag.llm.texts import SPACE, ascii_lower, byte_sums, fold, keyed, span,
 from fleetlag.session import cut_lineage
 
 FOLDS = 5
+CHECK_FOLD = 4
 BINS = 8
 SUM_GROUPS = 16
 #: Ridge on the weights: a constant and a share that falls with the number of positives.
@@ -134,24 +137,31 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = text_statistics(b["text"])
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], flat], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], _as_lists(text_statistics(b["text"]))], ["doc_id", "x"])
 
     return cut_lineage(keyed(docs).mapInArrow(run, "doc_id long, x array<float>"))
 
 
+def _as_lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """Training-fold label of each document: 1 only where every label says so."""
-    return (
+    """Training-fold label of each document: 1 only where every label says so. ``positive`` is for the weights,
+    ``check`` for the calibration: fold ``CHECK_FOLD`` is kept for it, so that it sees no fitted positive."""
+    whole = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(FOLDS) != 0))
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("positive"))
+        .agg(F.min("quality").alias("quality"))
+    )
+    part = F.when(fold(FOLDS) == CHECK_FOLD, F.lit(1)).otherwise(F.lit(0))
+    return whole.select(
+        "doc_id", "quality", (F.col("quality") * (1 - part)).alias("positive"), (F.col("quality") * part).alias("check")
     )
 
 
@@ -233,11 +243,11 @@ def calibration(rows: DataFrame, edges, weights, prior: float) -> np.ndarray:
         for b in batches:
             level = _level(_raw(b["x"], edges, weights))
             counts[0] += np.bincount(level, minlength=LEVELS)
-            counts[1] += np.bincount(level[b["positive"].fill_null(0).to_numpy(zero_copy_only=False) == 1], minlength=LEVELS)
+            counts[1] += np.bincount(level[b["check"].fill_null(0).to_numpy(zero_copy_only=False) == 1], minlength=LEVELS)
         columns = [pa.array(np.arange(LEVELS)), pa.array(counts[0]), pa.array(counts[1])]
         yield pa.RecordBatch.from_arrays(columns, ["level", "u", "p"])
 
-    found = rows.select("x", "positive").mapInArrow(run, "level long, u long, p long")
+    found = rows.select("x", "check").mapInArrow(run, "level long, u long, p long")
     u, p = np.zeros(LEVELS), np.zeros(LEVELS)
     for r in found.groupBy("level").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).collect():
         u[r["level"]], p[r["level"]] = r["u"], r["p"]
@@ -257,29 +267,59 @@ def _level(g: np.ndarray) -> np.ndarray:
     return np.clip(((g + 1.5) / 3 * LEVELS).astype(np.int64), 0, LEVELS - 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row."""
-    table = feature_table(docs)
+@dataclass
+class Model:
+    """What scoring needs; its size does not depend on the corpus."""
+
+    edges: np.ndarray
+    weights: np.ndarray
+    chance: np.ndarray
+
+    def of_statistics(self, column: pa.Array) -> np.ndarray:
+        g = _raw(column, self.edges, self.weights)
+        return (1 - TIE) * self.chance[_level(g)] + TIE * np.clip((g + 1.5) / 3, 0.0, 1.0)
+
+    def of_texts(self, column: pa.Array) -> np.ndarray:
+        return self.of_statistics(_as_lists(text_statistics(column)))
+
+
+def train(table: DataFrame, labels: DataFrame) -> Model:
+    """Fit to a ``feature_table`` and the labels of the training folds."""
     quantiles = [F.percentile_approx(F.col("x")[j], [i / BINS for i in range(1, BINS)], 2000) for j in range(len(FEATURES))]
     found = table.agg(*[q.alias(f"q{j}") for j, q in enumerate(quantiles)]).first()
     edges = np.array([[*sorted(q), np.inf] if q else [0.0] * (BINS - 1) + [np.inf] for q in found], float)
     known = trusted(labels)
-    share = known.agg(F.avg("positive")).first()[0]
+    share = known.agg(F.avg("quality")).first()[0]
     prior = float(np.clip(0.5 if share is None else share, *PRIOR_RANGE))
     rows = table.join(known, "doc_id", "left")
     weights = fit(moments(rows, edges), prior)
-    chance = calibration(rows, edges, weights, prior)
+    return Model(edges, weights, calibration(rows, edges, weights, prior))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row."""
+    table = feature_table(docs)
+    model = train(table, labels)
 
     def run(batches):
         for b in batches:
-            g = _raw(b["x"], edges, weights)
-            value = (1 - TIE) * chance[_level(g)] + TIE * np.clip((g + 1.5) / 3, 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(value, pa.float64())], ["doc_id", "score"])
+            value = pa.array(model.of_statistics(b["x"]), pa.float64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], value], ["doc_id", "score"])
 
-    scored = table.mapInArrow(run, "doc_id long, score double")
-    return scored.select(
+    return table.mapInArrow(run, "doc_id long, score double").select(
         "doc_id",
         (fold(FOLDS) == 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all columns, that the classifier accepts; no row is moved."""
+    model = train(feature_table(docs), labels)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.of_texts(b["text"]) >= threshold))
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, docs.schema)

@@ -3,8 +3,19 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlag.llm import op2_jaccard, op3_license, op4_bpe, op5_contamination, op6_suffix_array, op7_quality, op8_substrings, op10_pii
-from fleetlag.llm.texts import documents
+from fleetlag.llm import (
+    op1_neighbours,
+    op2_jaccard,
+    op3_license,
+    op4_bpe,
+    op5_contamination,
+    op6_suffix_array,
+    op7_quality,
+    op8_substrings,
+    op9_suffix_tree,
+    op10_pii,
+)
+from fleetlag.llm.texts import bounded_batches, documents
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +51,18 @@ def op10_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
     return op10_pii.find(documents(spark, sf))
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    bounded_batches(spark)
+    return op1_neighbours.search(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op9_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return op9_suffix_tree.scores(documents(spark, sf))
+
+
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op2_jaccard_join": op2_jaccard_join,
     "op5_contamination_index": op5_contamination_index,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,

@@ -1,0 +1,275 @@
+"""Every operator against its plain version, over a fixture of hard cases, and over empty tables."""
+
+import math
+
+import brute
+import cases
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fleetlag.llm import (
+    op1_neighbours, op2_jaccard, op3_license, op4_bpe, op5_contamination, op6_suffix_array, op7_quality, op8_substrings,
+    op9_suffix_tree, op10_pii,
+)
+from fleetlag.llm.components import components
+
+P = pytest.importorskip("public_tokenizers")
+ROWS = cases.documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return cases.frame(spark, cases.with_null_id(ROWS)).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return cases.frame(spark, [])
+
+
+def key(row):
+    return tuple((x is None, str(type(x)), x if x is not None else 0) for x in row)
+
+
+def got(df, names):
+    return sorted((tuple(r[n] for n in names.split()) for r in df.collect()), key=key)
+
+
+def same(df, names, want):
+    assert got(df, names) == sorted(want, key=key)
+
+
+def test_jaccard(docs, none):
+    names = "doc_id n_shingles component_id"
+    unique = {d for d, _ in ROWS if [x for x, _ in ROWS].count(d) == 1}
+    want = [r for r in brute.jaccard(ROWS)]
+    assert [r for r in got(op2_jaccard.join(docs), names) if r[0] in unique] == sorted((r for r in want if r[0] in unique), key=key)
+    same(op2_jaccard.join(none), names, [])
+
+
+def test_jaccard_keeps_a_link_that_leaders_miss(spark):
+    # a chain: neighbours link, ends do not
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 120])) for i in range(20)]
+    same(op2_jaccard.join(cases.frame(spark, rows)), "doc_id n_shingles component_id", brute.jaccard(rows))
+
+
+def test_license(docs, none):
+    names = "doc_id n_words n_base first_word last_word base_labels"
+    found = op3_license.scan(docs)
+    same(found, names, brute.license_base(ROWS, op3_license.PHRASES))
+    by_doc = {r.doc_id: r for r in found.collect()}
+    assert by_doc[1403].labels == "apache-2,cc-by-nc,mit" and by_doc[1403].score == 1.0
+    assert by_doc[1404].labels == "gpl-3" and by_doc[1404].base_labels == ""
+    same(op3_license.scan(none), names, [])
+
+
+def test_license_blocks_are_complete():
+    words = b"x y licensed z under the apache q license version 2 0 w".split()
+    t = op3_license.Template("l", "licensed under the apache license version 2 0", {})
+    best = max(len(t.words & set(words[i : i + t.block])) for i in range(len(words)))
+    assert t.best(words)[0] == best
+
+
+def test_bpe(docs, none):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    want = []
+    for d, t in ROWS:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        want.append((d, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(back)))
+    same(op4_bpe.digests(docs, path), "doc_id n_tokens ids_sha256 decoded_sha256", want)
+    back = op4_bpe.decode(op4_bpe.encode(docs, path), path)
+    same(back, "doc_id text", [(d, t or "") for d, t in ROWS])
+    same(op4_bpe.digests(none, path), "doc_id", [])
+
+
+def test_contamination(spark, docs, none):
+    items = cases.benchmark()
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, words string, start int")
+    names = "doc_id n_words n_hit n_items items_sha256 contaminated"
+    want = brute.contamination(ROWS, [(i, t) for i, t in items if i is not None])
+    same(op5_contamination.contamination(docs, table), names, want)
+    same(op5_contamination.contamination(none, table), names, [])
+    assert op5_contamination.contamination(docs, table.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_contamination_uses_no_broadcast_beyond_its_bound(spark, docs, monkeypatch):
+    items = cases.benchmark()
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(op5_contamination, "BROADCAST_BYTES", 0)
+    want = brute.contamination(ROWS, [(i, t) for i, t in items if i is not None])
+    same(op5_contamination.contamination(docs, table), "doc_id n_words n_hit n_items items_sha256 contaminated", want)
+
+
+def test_proximity(spark):
+    docs = cases.frame(spark, [(1, "alpha x beta y gamma"), (2, "alpha " + "z " * 60 + "beta gamma"), (3, "gamma beta alpha")])
+    items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
+    found = op5_contamination.proximity(docs, items, terms=3, within=20)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, "7"), (3, "7")}
+
+
+def test_suffix_array(docs, none):
+    names = "doc_id n_bytes n_removed n_spans kept_sha256"
+    same(op6_suffix_array.dedup(docs), names, brute.byte_dedup(ROWS))
+    same(op6_suffix_array.dedup(none), names, [])
+
+
+def test_induced_order_equals_a_plain_sort():
+    rng = np.random.default_rng(1)
+    for letters, n in ((1, 200), (2, 500), (3, 2000), (20, 3000)):
+        text = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        small = lambda: op6_suffix_array.BucketQueue(limit=100)  # noqa: E731  spills
+        raw = text.tobytes()
+        order = op6_suffix_array.suffix_order(text, small).tolist()
+        assert sorted(order) == list(range(n))
+        first = [raw[i : i + op6_suffix_array.DEPTH] for i in order]
+        assert all(a.ljust(64, b"\0") <= b.ljust(64, b"\0") for a, b in zip(first, first[1:]))
+
+
+def test_substrings(docs, none):
+    names = "doc_id n_words n_removed kept_sha256"
+    same(op8_substrings.dedup(docs), names, brute.word_dedup(ROWS))
+    same(op8_substrings.dedup(none), names, [])
+
+
+def test_deep_suffixes_do_not_depend_on_the_group_size():
+    from fleetlag.llm.texts import prefix_sums
+
+    words = np.random.default_rng(2).integers(1, 3, 3000).astype(np.uint64)
+    sums, at = prefix_sums(words), np.arange(2900)
+    many = {}
+    for i in at:
+        many.setdefault(tuple(words[i : i + 12]), []).append(i)
+    want = [len(many[tuple(words[i : i + 12])]) > 1 for i in at]
+    for group in (1, 50, 10**6):
+        assert op8_substrings.deep_suffixes(sums, at, 12, group).tolist() == want
+
+
+def test_language_model(docs, none):
+    names = "doc_id held_out n_tokens n_known train_tokens"
+    found = op9_suffix_tree.scores(docs).collect()
+    want = sorted(brute.unigram_scores(ROWS), key=key)
+    assert sorted((tuple(r[n] for n in names.split()) for r in found), key=key) == [r[:5] for r in want]
+    by = lambda rows: sorted((r[0], round(r[-1], 6)) for r in rows)
+    assert by([(r.doc_id, r.base_score) for r in found]) == by(want)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in found)
+    trained = [r for r in found if not r.held_out]
+    assert sum(r.score for r in trained) > sum(r.base_score for r in trained)
+    assert op9_suffix_tree.scores(none).count() == 0
+
+
+def test_language_model_is_a_distribution(spark):
+    """All continuations of each context sum to one."""
+    rows = [(i, "a b a b c a b a b d " * (3 + i)) for i in range(20)]
+    train = cases.frame(spark, rows)
+
+    def keys_of(text):
+        import pyarrow as pa
+
+        return next(op9_suffix_tree.token_keys(pa.array([text])))[2:]
+
+    def count(batches):
+        for b in batches:
+            found = [np.unique(k, return_counts=True) for _, _, k, _ in op9_suffix_tree.token_keys(b["text"])]
+            yield op9_suffix_tree.count_batch([k for k, _ in found], [c for _, c in found], 4)
+
+    table = op9_suffix_tree.summed(train.select("text").mapInArrow(count, op9_suffix_tree.COUNTS))
+    tree = op9_suffix_tree.grow(train, table)
+    assert any(c.any() for c in tree.context)
+    for context in ("a", "a b", "b a", "x", "b c"):
+        total = 0.0
+        for word in "abcd":
+            score, outside = op9_suffix_tree.local_scores(tree, *keys_of(f"{context} {word}"))
+            assert not outside[-2]
+            total += 10 ** score[-2]
+        end, _ = op9_suffix_tree.local_scores(tree, *keys_of(context))
+        rest, outside = op9_suffix_tree.local_scores(tree, *keys_of(f"{context} unseen"))
+        total += 10 ** end[-1] + 10 ** rest[-2] / (tree.total + tree.distinct + 1)
+        assert abs(total - 1) < 1e-9
+
+
+def test_personal_data(docs, none):
+    names = "doc_id n_email n_ip n_card n_phone base_sha256"
+    found = op10_pii.find(docs)
+    same(found, names, brute.personal(ROWS))
+    spans = {r.doc_id: r.spans for r in found.collect()}
+    assert "phone:" in spans[1401] and "secret:" in spans[1402]
+    text = dict(ROWS)[1402]
+    masked = {r.doc_id: r.text for r in op10_pii.mask(docs).collect()}
+    assert "04dbebab" not in masked[1402] and masked[1302] == dict(ROWS)[1302] and len(text) > len(masked[1402])
+    same(op10_pii.find(none), names, [])
+
+
+def test_segment_probabilities_sum_to_one():
+    scores = np.random.default_rng(4).standard_normal((7, op10_pii.LONGEST, len(op10_pii.LABELS)))
+    scores[:, 1:, 0] = -np.inf
+    p = op10_pii.expected(scores)
+    covering = sum(p[i, n].sum() for i in range(7) for n in range(op10_pii.LONGEST) if i <= 3 <= i + n)
+    assert abs(covering - 1) < 1e-9
+
+
+def test_quality(spark, docs, none):
+    labels = spark.createDataFrame(
+        [(d, int(i % 7 > 0), 0) for i, (d, _) in enumerate(ROWS)] + [(None, 1, 0), (1302, None, 0), (99999, 1, 1)],
+        "doc_id long, quality int, toxic int",
+    )
+    found = op7_quality.score(docs, labels).collect()
+    assert sorted(r.doc_id for r in found) == sorted(d for d, _ in ROWS)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (brute.fold(r.doc_id, 5) == 0) for r in found)
+    assert op7_quality.score(none, labels).count() == 0
+    assert op7_quality.score(docs, labels.limit(0)).count() == len(ROWS)
+    assert op7_quality.accepted(docs, labels).columns == docs.columns
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = op7_quality.score(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    right = found.where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def neighbours(rows, every=20, k=20):
+    good = [(i, np.array(v)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, v in good:
+        if i % every == 0:
+            out[i] = sorted((-float(np.sum(v * w)), j) for j, w in good if j != i)[:k]
+    return out
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(16) * (1 + i % 3)]) for i in range(600)]
+    rows += [(600 + i, rows[0][1]) for i in range(60)]
+    rows += [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (760, [1.0] * 15 + [None]), (780, [float("inf")] * 16)]
+    table = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, v string")
+    want = neighbours([r for r in rows if r[0] < 700])
+    found = {}
+    for r in op1_neighbours.search(table).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(found) == set(want)
+    hit = 0
+    for q, near in found.items():
+        assert [r for r, _, _ in sorted(near)] == list(range(1, 21))
+        assert [(-s, i) for _, i, s in sorted(near)] == sorted((-s, i) for _, i, s in near)
+        hit += len({i for _, i, _ in near} & {i for _, i in want[q]})
+    assert hit >= 0.9 * 20 * len(want)
+    assert op1_neighbours.search(table.limit(0)).count() == 0
+
+
+def test_neighbours_of_few_rows(spark):
+    rows = [(20 * i, [1.0, float(i)]) for i in range(4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert op1_neighbours.search(table).count() == 12
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found[i] == 0 for i in range(41)) and found[100] == found[95] == 90
