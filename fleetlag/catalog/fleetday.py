@@ -9,8 +9,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlag.session import scratch_path
-
 DAY = 1767679200  # 2026-01-06 06:00:00 UTC
 EVENTS_START_US = 1704067200000000
 
@@ -26,21 +24,13 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SAVED: dict[tuple, str] = {}
-
-
 def vehicles(spark, sf) -> DataFrame:
-    """Terminals and their vehicles. The events are scanned for them once per application; the
-    small result is read back wherever a view starts from the fleet."""
-    key = (spark.sparkContext.applicationId, sf)
-    schema = "tr_id bigint, unit_id bigint"
-    if key not in _SAVED:
-        path = scratch_path(spark, "vehicles")
-        spark.read.parquet(f"{sf}/events.parquet").select(
-            F.expr("100 + user_id div 10").alias("tr_id"), (F.col("user_id") + 9000).alias("unit_id")
-        ).distinct().write.parquet(path)
-        _SAVED[key] = path
-    return spark.read.schema(schema).parquet(_SAVED[key])
+    """Terminals and their vehicles, from a scan of all events."""
+    return (
+        spark.read.parquet(f"{sf}/events.parquet")
+        .select(F.expr("100 + user_id div 10").alias("tr_id"), (F.col("user_id") + 9000).alias("unit_id"))
+        .distinct()
+    )
 
 
 def delay_of(tr="tr_id"):

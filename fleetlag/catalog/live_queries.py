@@ -20,10 +20,10 @@ def latest_prediction(spark, sf):
 
 @query(
     "W9",
-    """SELECT tr_id, t, prediction_s FROM (SELECT *, row_number() OVER (PARTITION BY tr_id ORDER BY t DESC, sample_id DESC) AS rn FROM f_predictions WHERE i % 7 < 5) WHERE rn = 1""",
+    """SELECT tr_id, t, prediction_s FROM (SELECT *, row_number() OVER (PARTITION BY tr_id ORDER BY t DESC, sample_id DESC) AS rn FROM f_predictions) WHERE rn = 1""",
 )
 def current_prediction(spark, sf):
-    return L.latest_predictions(D.predictions(spark, sf).where("i % 7 < 5")).select("tr_id", "t", "prediction_s")
+    return L.latest_predictions(D.predictions(spark, sf)).select("tr_id", "t", "prediction_s")
 
 
 def shuffled(spark, sf):
@@ -70,11 +70,11 @@ def vehicle_states(spark, sf):
     """SELECT tr_id, from_t, t, far OR from_far AS away FROM (SELECT *, lag(t) OVER w AS from_t, lag(far) OVER w AS from_far FROM (
        SELECT c.row_id, c.tr_id, c.t, min(12742 * asin(sqrt(pow(sin((radians(p.lat) - radians(c.lat)) / 2), 2)
          + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin((radians(p.lon) - radians(c.lon)) / 2), 2)))) > 3 AS far
-       FROM f_clean c JOIN (SELECT DISTINCT tr_id, lat, lon FROM f_plan WHERE lon_e5 < 3762000) p ON p.tr_id = c.tr_id WHERE c.ok GROUP BY 1, 2, 3)
+       FROM f_clean c JOIN (SELECT DISTINCT tr_id, lat, lon + CAST(0.08 AS DOUBLE) AS lon FROM f_plan) p ON p.tr_id = c.tr_id WHERE c.ok GROUP BY 1, 2, 3)
        WINDOW w AS (PARTITION BY tr_id ORDER BY t, row_id)) WHERE t - from_t <= 120""",
 )
 def track_sections(spark, sf):
-    near = D.plan(spark, sf).where("lon_e5 < 3762000")
+    near = D.plan(spark, sf).withColumn("lon", F.col("lon") + 0.08)  # stops aside of the track, so that parts are away
     return L.track_sections(ticks(spark, sf).where("ok"), near).select("tr_id", "from_t", "t", "away")
 
 
@@ -155,16 +155,19 @@ def recovery_history(spark, sf):
     return L.history_for_recovery(shuffled(spark, sf)).select("row_id", "t")
 
 
+LIVE = {"f_live": f"SELECT * FROM f_telemetry WHERE t <= {NOW} - CASE tr_id % 7 WHEN 0 THEN 1000 WHEN 1 THEN 300 ELSE -1000000 END"}
 _TICK = {
+    **LIVE,
     "f_cand": f"""SELECT s.tr_id, s.last_t, arg_min(p.stop_id, p.t_plan) AS target_stop_id, min(p.t_plan) AS t_target,
        (SELECT arg_max(delay_s, time_fact) FROM f_stop_events e WHERE e.tr_id = s.tr_id AND e.time_fact <= {NOW}) AS cur_dev_s
-       FROM (SELECT tr_id, max(t) AS last_t FROM f_telemetry WHERE k % 19 = 2 AND t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1) s
+       FROM (SELECT tr_id, max(t) AS last_t FROM f_live WHERE t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1) s
        JOIN f_plan p ON p.tr_id = s.tr_id AND p.t_plan > {NOW} + 600 AND p.t_plan <= {NOW} + 900 WHERE {NOW} - s.last_t <= 900 GROUP BY s.tr_id, s.last_t""",
 }
 
 
-def _sparse(spark, sf):
-    return D.telemetry(spark, sf).where("k % 19 = 2")
+def _live(spark, sf):
+    """The whole telemetry; some vehicles fall silent 300 or 1000 seconds before now."""
+    return D.telemetry(spark, sf).where(f"t <= {NOW} - CASE tr_id % 7 WHEN 0 THEN 1000 WHEN 1 THEN 300 ELSE -1000000 END")
 
 
 @query(
@@ -175,7 +178,7 @@ def _sparse(spark, sf):
     _TICK,
 )
 def tick_scoring(spark, sf):
-    rows = L.score_at(_sparse(spark, sf), D.plan(spark, sf), D.stop_events(spark, sf), NOW)
+    rows = L.score_at(_live(spark, sf), D.plan(spark, sf), D.stop_events(spark, sf), NOW)
     return rows.select(
         "sample_id", "tr_id", "target_stop_id", "target_time_begin", "prediction_s", "risk_level", "degraded", "degraded_reason",
         F.array_join("reasons", "|").alias("reasons"), "model_version",
@@ -195,7 +198,7 @@ def prediction_rows(spark, sf):
             F.array(F.lit("long_dwell")).alias("reasons"), F.lit("m2").alias("model_version"),
         )
 
-    rows = L.score_at(_sparse(spark, sf), D.plan(spark, sf), D.stop_events(spark, sf), NOW, forecast)
+    rows = L.score_at(_live(spark, sf), D.plan(spark, sf), D.stop_events(spark, sf), NOW, forecast)
     return rows.select("tr_id", "prediction_s", "degraded_reason", "model_version")
 
 
@@ -207,17 +210,18 @@ def warm_up(spark, sf):
 
 
 SNAP = {
-    "f_seen": f"SELECT tr_id, max(t) AS last_t FROM f_telemetry WHERE k % 19 = 2 AND t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1",
+    **LIVE,
+    "f_seen": f"SELECT tr_id, max(t) AS last_t FROM f_live WHERE t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1",
     "f_known": f"SELECT * FROM f_stop_events WHERE time_fact <= {NOW}",
-    "f_curr": f"""SELECT p.* FROM (SELECT *, row_number() OVER (PARTITION BY tr_id ORDER BY t DESC) AS rn FROM f_predictions WHERE t <= {NOW} AND i % 4 = 0 AND tr_id % 4 > 0) p
+    "f_curr": f"""SELECT p.* FROM (SELECT *, row_number() OVER (PARTITION BY tr_id ORDER BY t DESC) AS rn FROM f_predictions WHERE t <= {NOW}) p
        JOIN f_seen s ON s.tr_id = p.tr_id AND {NOW} - s.last_t <= 900 WHERE p.rn = 1 AND target_stop_id NOT IN (SELECT stop_id FROM f_known)""",
 }
 
 
 def _live_inputs(spark, sf):
-    p = D.predictions(spark, sf).where(f"t <= {NOW} AND i % 4 = 0 AND tr_id % 4 > 0")
+    p = D.predictions(spark, sf).where(f"t <= {NOW}")
     e = D.stop_events(spark, sf).where(F.col("time_fact") <= NOW)
-    return _sparse(spark, sf), p, e
+    return _live(spark, sf), p, e
 
 
 @query("T13", "SELECT sample_id, tr_id FROM f_curr", SNAP)
@@ -241,9 +245,9 @@ def fleet_snapshot(spark, sf):
 @query(
     "V2 P15",
     f"""SELECT coalesce(a.tr_id, b.tr_id, c.tr_id) AS tr_id, a.n AS track, a.t0 AS first_t, b.n AS stops, b.f AS facts, c.n AS predictions, c.newest FROM
-       (SELECT tr_id, count(*) AS n, min(t) AS t0 FROM f_telemetry WHERE k % 19 = 2 AND ok AND t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1) a
+       (SELECT tr_id, count(*) AS n, min(t) AS t0 FROM f_live WHERE ok AND t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1) a
        FULL JOIN (SELECT p.tr_id, count(*) AS n, count(e.stop_id) AS f FROM f_plan p LEFT JOIN f_known e ON e.stop_id = p.stop_id WHERE p.t_plan BETWEEN {NOW} - 1800 AND {NOW} + 1800 GROUP BY 1) b ON a.tr_id = b.tr_id
-       FULL JOIN (SELECT tr_id, count(*) AS n, arg_max(sample_id, t) AS newest FROM f_predictions WHERE i % 4 = 0 AND tr_id % 4 > 0 AND t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1) c ON c.tr_id = coalesce(a.tr_id, b.tr_id)""",
+       FULL JOIN (SELECT tr_id, count(*) AS n, arg_max(sample_id, t) AS newest FROM f_predictions WHERE t BETWEEN {NOW} - 1800 AND {NOW} GROUP BY 1) c ON c.tr_id = coalesce(a.tr_id, b.tr_id)""",
     SNAP,
 )
 def vehicle_cards(spark, sf):
@@ -260,7 +264,7 @@ def vehicle_cards(spark, sf):
 @query(
     "V3",
     f"""SELECT (SELECT count(*) FROM f_seen) AS vehicles, (SELECT count_if(risk_level = 'red') FROM f_curr) AS red, (SELECT count(*) FROM f_alerts WHERE status = 'open') AS open_alerts,
-       (SELECT round(avg(abs(prediction_s - e.delay_s)), 6) FROM f_predictions p JOIN f_known e ON e.stop_id = p.target_stop_id WHERE p.t <= {NOW} AND i % 4 = 0 AND p.tr_id % 4 > 0) AS mae_s""",
+       (SELECT round(avg(abs(prediction_s - e.delay_s)), 6) FROM f_predictions p JOIN f_known e ON e.stop_id = p.target_stop_id WHERE p.t <= {NOW}) AS mae_s""",
     {**ALERT_VIEWS, **SNAP},
 )
 def operations_row(spark, sf):

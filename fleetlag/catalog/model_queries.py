@@ -1,7 +1,4 @@
-"""Training, evaluation and explanation of the delay model on the derived fleet day.
-
-Small settings keep the queries short; the number of trees is a parameter of the job.
-"""
+"""Training, evaluation and explanation of the delay model on the derived fleet day, with the library's settings."""
 
 from pyspark.sql import functions as F
 
@@ -13,8 +10,9 @@ from fleetlag.catalog.registry import query
 from fleetlag.plans import model as MO
 from fleetlag.plans.features import build_features
 from fleetlag.session import cut_lineage, scratch_path
+from fleetlag.sources.sinks import submission_problems, write_submission
 
-SMALL = MO.TrainConfig(iterations=4, depth=3, folds=2)
+CONFIG = MO.TrainConfig()
 
 
 def _inputs(spark, sf):
@@ -30,21 +28,21 @@ def _table(spark, sf):
 @query("M5 M6 M9")
 def model_forecast(spark, sf):
     table, *_ = _table(spark, sf)
-    model = MO.fit_models(table, SMALL, SMALL.iterations, SMALL.iterations)
+    model = MO.fit_models(table, CONFIG, CONFIG.iterations, CONFIG.iterations)
     return model.predict(table).select("sample_id", "delay_s", "delay_lo_s", "delay_hi_s", "late_prob")
 
 
 @query("M7 M10")
 def model_report(spark, sf):
     table, *_ = _table(spark, sf)
-    _, reports, _ = MO.train(table, SMALL)
+    _, reports, _ = MO.train(table, CONFIG)
     return rounded(reports["cv"])
 
 
 @query("M12 A23")
 def reason_contributions(spark, sf):
     table, *_ = _table(spark, sf)
-    model = MO.fit_models(table, SMALL, SMALL.iterations, None)
+    model = MO.fit_models(table, CONFIG, CONFIG.iterations, None)
     parts = MO.contributions(model, table)
     total = sum((F.col(r) for r in S.REASONS), F.col("expected_s"))
     both = parts.join(model.predict(table).select("sample_id", "delay_s"), "sample_id")
@@ -54,7 +52,7 @@ def reason_contributions(spark, sf):
 @query("M13 M11")
 def served_forecast(spark, sf):
     table, points, plan, fixes = _table(spark, sf)
-    model = MO.fit_models(table, SMALL, SMALL.iterations, SMALL.iterations)
+    model = MO.fit_models(table, CONFIG, CONFIG.iterations, CONFIG.iterations)
     path = scratch_path(spark, "model")
     model.save(spark, path)
     return MO.forecast(points, plan, fixes, MO.DelayModel.load(spark, path))
@@ -63,19 +61,25 @@ def served_forecast(spark, sf):
 @query("M15 S17")
 def submission(spark, sf):
     table, *_ = _table(spark, sf)
-    models = [MO.fit_models(table, MO.TrainConfig(iterations=4, depth=3, seed=s), 4, None) for s in (0, 1)]
-    return MO.average_submission(models, table).select("sample_id", F.round("prediction", 1).alias("prediction"))
+    models = [MO.fit_models(table, MO.TrainConfig(seed=s), CONFIG.iterations, None) for s in (0, 1)]
+    path = scratch_path(spark, "submission")
+    write_submission(MO.average_submission(models, table), path)
+    rows = spark.read.option("sep", ";").option("header", True).csv(path)
+    problems = submission_problems(rows, table.select("sample_id"))
+    return rows.select("sample_id", F.col("prediction").cast("double").alias("prediction")).withColumn(
+        "problems", F.lit(problems.count())
+    )
 
 
 @query("O5")
 def feature_importance(spark, sf):
     table, *_ = _table(spark, sf)
-    model = MO.fit_models(table, SMALL, SMALL.iterations, None)
+    model = MO.fit_models(table, CONFIG, CONFIG.iterations, None)
     return spark.createDataFrame(model.importance(10), "feature string, share double")
 
 
 @query("A22")
 def outage_scorecard(spark, sf):
     table, points, plan, fixes = _table(spark, sf)
-    model = MO.fit_models(table, SMALL, SMALL.iterations, None)
-    return MO.outage_scorecard(model, points, plan, fixes, minutes=(0, 5), samples=100)
+    model = MO.fit_models(table, CONFIG, CONFIG.iterations, None)
+    return MO.outage_scorecard(model, points, plan, fixes)

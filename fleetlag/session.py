@@ -36,11 +36,15 @@ def ship_code() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests, one machine) is a temporary folder used.
+    Only where the session does not name one and runs on one machine is a temporary folder used; on a cluster each
+    executor would write to its own disk, so an unset folder is refused there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="fleetlag-")
     return _LOCAL["dir"]

@@ -125,11 +125,13 @@ def reject_counts(df: DataFrame) -> DataFrame:
 def strict_plan(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     """Plan rows for offline work; fact columns are not taken along."""
     lon, lat = X.wkt_point("geom", "loose")
-    return rows.select(
+    refuse = F.raise_error(F.concat(F.lit("cannot read the place "), F.coalesce("geom", F.lit("(none)")))).cast("boolean")
+    # a row filter, so that it runs whatever columns are asked for
+    return rows.where(F.when(lat.isNull() | lon.isNull(), refuse).otherwise(True)).select(
         F.col("tt_action_item_id").cast("bigint").alias("stop_id"),
         F.col("tr_id").cast("bigint").alias("tr_id"),
         X.epoch_s(X.iso_time("time_begin", zone)).alias("t_plan"),
-        F.when(lat.isNull() | lon.isNull(), F.raise_error(F.concat(F.lit("bad geometry: "), F.col("geom"))).cast("double")).otherwise(lat).alias("lat"),
+        lat.alias("lat"),
         lon.alias("lon"),
         F.col("building_address").alias("address"),
     )

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlag.session import cut_lineage
+
 
 def new_predictions(batch: DataFrame, stored: DataFrame, order: str = "row_id") -> DataFrame:
     """Rows of a batch to insert: the first per ``sample_id``, none that is stored already."""
@@ -11,10 +13,14 @@ def new_predictions(batch: DataFrame, stored: DataFrame, order: str = "row_id")
     return firsts.join(stored.select("sample_id"), "sample_id", "left_anti")
 
 
-def new_telemetry(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose (run_id, source_key) is neither repeated in the batch nor stored."""
+def new_telemetry(batch: DataFrame, stored: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows whose (run_id, source_key) is not stored; of a key repeated in the batch the first in delivery ``order``,
+    or by the whole row where the batch carries no order."""
     keys = ["run_id", "source_key"]
-    return batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    rest = F.struct(*[c for c in batch.columns if c not in keys])
+    first = F.min_by(F.struct(*batch.columns), F.col(order) if order else rest).alias("__r")
+    firsts = batch.groupBy(*keys).agg(first).select("__r.*")
+    return firsts.join(stored.select(*keys), keys, "left_anti")
 
 
 def append_once(batch: DataFrame, path: str, pick) -> DataFrame:
@@ -27,7 +33,7 @@ def append_once(batch: DataFrame, path: str, pick) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         stored = spark.createDataFrame([], batch.schema)
-    fresh = pick(batch, stored)
+    fresh = cut_lineage(pick(batch, stored))  # what is returned is what was stored
     fresh.write.mode("append").parquet(path)
     return fresh
 
