@@ -5,8 +5,8 @@ whole candidate segments of up to ``LONGEST`` words: counts of digits, dots and
 brackets, a leading plus, the word before. Dynamic programming over bounded segments chooses boundaries and kinds
 together. Its spans are added where they overlap no base span; kind ``secret`` exists only there.
 
-It is trained by gradient ascent on the conditional likelihood of segmentations of at most ``SAMPLE`` regions
-(the first by a hash of their text among all regions that hold a labelled span), labelled by the rules; for
+It is trained by gradient ascent on the conditional likelihood of segmentations of at most ``SAMPLE`` regions that
+hold a labelled span and as many that hold none (the first of all by a hash of their text), labelled by the rules; for
 phones a copy without the plus sign is added, so that the field learns forms which the rules miss.
 
 Rows: null and empty texts have no spans; rows without doc_id are left out; repeated rows are scanned each;
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlag.llm.texts import keyed
+from fleetlag.session import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS, "secret"]
@@ -281,20 +282,23 @@ def train(samples: list[str]) -> np.ndarray:
 
 
 def training_regions(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most ``sample`` region texts with a labelled span, the first by a hash of their text."""
+    """At most ``sample`` region texts with a labelled span and as many without, the first by a hash of their text."""
 
     def run(batches):
         for b in batches:
-            out = []
+            out: dict[str, bool] = {}
             for text in b["text"].to_pylist():
                 for words in regions(text):
                     part = text[words[0][0] : words[-1][1]]
-                    if len(words) <= 40 and len(part) <= 2000 and gold_segments(part, [m.span() for m in _WORD.finditer(part)]):
-                        out.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["part"])
+                    if len(words) <= 40 and len(part) <= 2000:
+                        out[part] = bool(gold_segments(part, [m.span() for m in _WORD.finditer(part)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.bool_())], ["part", "labelled"]
+            )
 
-    found = keyed(docs).select("text").mapInArrow(run, "part string").distinct()
-    return [r["part"] for r in found.orderBy(F.xxhash64("part"), "part").limit(sample).collect()]
+    found = cut_lineage(keyed(docs).select("text").mapInArrow(run, "part string, labelled boolean").distinct())
+    pick = lambda rows: [r["part"] for r in rows.orderBy(F.xxhash64("part"), "part").limit(sample).collect()]
+    return pick(found.where("labelled")) + pick(found.where("NOT labelled"))
 
 
 def field_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:

@@ -187,7 +187,7 @@ def moments(rows: DataFrame, edges: np.ndarray) -> dict[str, np.ndarray]:
 
     partial = rows.select("x", "positive").mapInArrow(part, "m binary")
     spread = partial.repartition(SUM_GROUPS, F.spark_partition_id()).mapInArrow(add, "m binary")
-    total = sum(np.frombuffer(bytes(r["m"])) for r in spread.collect()).reshape(2, d, d)
+    total = sum((np.frombuffer(bytes(r["m"])) for r in spread.collect()), np.zeros(2 * d * d)).reshape(2, d, d)
     return {"U": total[0], "P": total[1]}
 
 

@@ -225,7 +225,8 @@ def smoothed(tree: Tree) -> Tree:
         rest = np.clip(1 - kept, 1e-12, 1)
         chance = share + rest[before] * 10**shorter
         divergence = np.bincount(before, weights=tree.counts[d] * np.log(chance / 10**shorter), minlength=len(held))
-        divergence += (held - np.bincount(before, weights=tree.counts[d], minlength=len(held))) * np.log(rest)
+        unseen = held - np.bincount(before, weights=tree.counts[d], minlength=len(held))
+        divergence = divergence + unseen * np.log(rest)
         context = divergence >= TEST
         tree.context.append(context)
         tree.spare.append(np.where(context, np.log10(rest), 0.0))

@@ -27,7 +27,7 @@ def documents():
     rows += [(1300, "ab " * 700), (1301, "ab " * 400 + "end"), (1302, prose(6000)), (1303, "Ünï çode " + prose(50).upper())]
     rows += [
         (1400, "mail a.b@c.d_x@e.f.g or bob@host and x@y.zz! 1.2.3.4.5 999.1.1.1 10.20.30.40"),
-        (1401, "card 4644 3483 9801 0899, 4644348398010899 1234567890123456 +1 (706) 555-3138 (706) 555-3138"),
+        (1401, "card 4644 3483 9801 0899, 4644348398010899 1234567890123456 x +1 (706) 555-3138 and more words (212) 555-0199 end"),
         (1402, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ok'),
         (1403, "Released under the MIT License. Licensed under the Apache License, Version 2.0. CC BY-NC"),
         (1404, "this work is licensed under a GNU general public license version 3"),
