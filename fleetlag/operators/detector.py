@@ -54,7 +54,8 @@ def visits_by_bucket(plan: DataFrame, settings: dict) -> DataFrame:
 
 
 def with_candidates(ticks: DataFrame, plan: DataFrame, settings: dict = S.DETECTOR) -> DataFrame:
-    """Ticks (``tr_id, t, ok, lat, lon, speed``) with ``near``: visits within time and radius."""
+    """Ticks (``tr_id, t, ok, lat, lon, speed``, and ``position`` if they have one) with ``near``: visits within time
+    and radius."""
     tol, radius = settings["visit_time_tolerance_sec"], settings["stop_radius_m"]
     joined = ticks.withColumn("__b", bucket("t", 2 * tol)).join(
         visits_by_bucket(plan, settings), ["tr_id", "__b"], "left"
@@ -65,7 +66,8 @@ def with_candidates(ticks: DataFrame, plan: DataFrame, settings: dict = S.DETECT
         return (F.abs(v["t_plan"] - F.col("t")) <= tol) & (d <= radius)
 
     near = F.when(F.col("ok") & F.col("lat").isNotNull(), F.filter("visits", close))
-    return joined.select("tr_id", "t", "ok", "lat", "lon", "speed", near.alias("near"))
+    kept = [c for c in ("position",) if c in ticks.columns]
+    return joined.select("tr_id", "t", "ok", "lat", "lon", "speed", *kept, near.alias("near"))
 
 
 def _metres(tick, stop) -> float:

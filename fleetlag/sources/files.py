@@ -125,7 +125,7 @@ def reject_counts(df: DataFrame) -> DataFrame:
 def strict_plan(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     """Plan rows for offline work; fact columns are not taken along."""
     lon, lat = X.wkt_point("geom", "loose")
-    refuse = F.raise_error(F.concat(F.lit("cannot read the place "), F.coalesce("geom", F.lit("(none)")))).cast("boolean")
+    refuse = F.raise_error(F.concat(F.lit("cannot read the place "), F.coalesce("geom", F.lit("(none)")))).cast("double").isNotNull()
     # a row filter, so that it runs whatever columns are asked for
     return rows.where(F.when(lat.isNull() | lon.isNull(), refuse).otherwise(True)).select(
         F.col("tt_action_item_id").cast("bigint").alias("stop_id"),

@@ -1,7 +1,8 @@
 """Keyed state machines on a stream: stop detector, alerts and the sliding telemetry window.
 
 Each processor keeps one JSON value per vehicle and applies the same step functions as the batch
-folds. Rows of a micro-batch are put in time order before they are applied.
+folds. Rows of a micro-batch are applied in the order of their stream position, as they would be one by one; only
+streams without a position are put in time order.
 """
 
 import json
@@ -82,11 +83,10 @@ class JsonState(StatefulProcessor):
 class StopDetector(JsonState):
     """Emits the event log of :mod:`fleetlag.operators.detector`."""
 
-    order = ["t"]
     schema = DT.EVENTS
 
-    def __init__(self, settings):
-        self.settings = settings
+    def __init__(self, settings, order=("t",)):
+        self.settings, self.order = settings, list(order)
 
     def advance(self, key, records, state, timers):
         state = state or DT.new_state()
@@ -99,9 +99,11 @@ class StopDetector(JsonState):
 class AlertKeeper(JsonState):
     """Emits the change log of :mod:`fleetlag.operators.alerts`."""
 
-    order = ["t", "kind", "sample_id"]
     schema = AL.CHANGES
 
+    def __init__(self, order=("t", "kind", "sample_id")):
+        self.order = list(order)
+
     def advance(self, key, records, state, timers):
         alerts = state or {}
         out = []
@@ -149,9 +151,6 @@ class TelemetryWindow(JsonState):
         self.store(state)
         yield self.frame(out)
 
-    def _fresh_clock(self, timers):
-        return timers.getCurrentWatermarkInMs() / 1000
-
 
 def check_saved_settings(spark, path: str, settings: dict) -> None:
     """Remember the detector settings next to its checkpoint; refuse other ones later."""
@@ -169,17 +168,22 @@ def check_saved_settings(spark, path: str, settings: dict) -> None:
 
 
 def detect_stream(ticks: DataFrame, plan: DataFrame, settings: dict = S.DETECTOR, initial: DataFrame | None = None) -> DataFrame:
-    """Event log of a tick stream. ``initial`` (``tr_id, state``) restores saved states."""
+    """Event log of a tick stream. ``initial`` (``tr_id, state``) restores saved states.
+
+    ``position`` is a tick's place in the stream (an offset or row number). With it a tick that is late in the stream
+    stays late however the stream is cut into batches."""
     rows = DT.with_candidates(ticks, plan, settings)
+    order = ["position"] if "position" in ticks.columns else ["t"]
     return rows.groupBy("tr_id").transformWithStateInPandas(
-        StopDetector(settings), DT.EVENTS, "Append", "None",
+        StopDetector(settings, order), DT.EVENTS, "Append", "None",
         initialState=initial.groupBy("tr_id") if initial is not None else None,
     )
 
 
 def alert_stream(log: DataFrame) -> DataFrame:
     """Alert changes from a stream shaped like :func:`fleetlag.operators.alerts.alert_log`."""
-    return log.groupBy("tr_id").transformWithStateInPandas(AlertKeeper(), AL.CHANGES, "Append", "None")
+    keeper = AlertKeeper(["position"]) if "position" in log.columns else AlertKeeper()
+    return log.groupBy("tr_id").transformWithStateInPandas(keeper, AL.CHANGES, "Append", "None")
 
 
 def window_stream(records: DataFrame, window_s: float = S.TELEMETRY_WINDOW_S) -> DataFrame:
@@ -190,8 +194,14 @@ def window_stream(records: DataFrame, window_s: float = S.TELEMETRY_WINDOW_S) ->
     )
 
 
+def verify_batches(events: DataFrame, read_predictions, write):
+    """A stream writer that checks stored forecasts against arrivals. ``read_predictions()`` is called for every
+    micro-batch, so forecasts stored after the start are checked too; ``write(errors, batch_id)`` keeps the result."""
+    return events.writeStream.foreachBatch(lambda batch, i: write(verified_stream(batch, read_predictions()), i))
+
+
 def verified_stream(events: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Forecast errors as arrivals stream in, against the stored predictions."""
+    """Errors of the given stored predictions for a batch (or a stream) of arrivals."""
     stored = predictions.select("sample_id", "target_stop_id", "prediction_s")
     facts = events.select(F.col("stop_id").alias("target_stop_id"), F.col("delay_s").alias("actual_delay_s"))
     return facts.join(stored, "target_stop_id").select(

@@ -16,7 +16,7 @@ from fleetlag.session import build_session  # noqa: E402
 def main(argv):
     sf = argv[0] if argv and argv[0].startswith("/") else "/root/testdata/sf0.01"
     parts = [a for a in argv if not a.startswith("/")]
-    spark = build_session("local[8]")
+    spark = build_session(f"local[{os.environ.get("CPUS", 8)}]")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracles, bad = entry.oracle_sql(), []

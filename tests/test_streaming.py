@@ -99,6 +99,31 @@ def test_detector_stream_equals_batch(spark, world, tmp_path, batches):
     assert batch.count() >= 20
 
 
+def test_detector_follows_the_stream_and_not_the_batch_cut(spark, world, tmp_path):
+    plan, _, ordered = world
+    moved = list(ordered)
+    for i in range(5, len(moved) - 6, 9):  # some ticks come late
+        moved[i], moved[i + 4] = moved[i + 4], moved[i]
+    schema = "position bigint, tr_id bigint, t double, lat double, lon double, speed double, ok boolean"
+    rows = [(n, f[0], f[1], f[3], f[4], f[5], True) for n, f in enumerate(moved)]
+    late, state, seen = 0, {}, {}
+    for r in rows:
+        late += r[2] <= state.get(r[1], float("-inf"))
+        state[r[1]] = max(r[2], state.get(r[1], float("-inf")))
+    assert late
+    for batches in (1, 4, 9):
+        size = -(-len(rows) // batches)
+        for k, i in enumerate(range(0, len(rows), size)):
+            path = tmp_path / f"in{batches}" / f"{k}.json"
+            path.parent.mkdir(exist_ok=True)
+            spark.createDataFrame(rows[i : i + size][::-1], schema).toPandas().to_json(path, orient="records", lines=True)
+            os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+        ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / f"in{batches}"))
+        log = collect(PR.detect_stream(ticks, plan), spark, "append", str(tmp_path / f"ck{batches}"), str(tmp_path / f"out{batches}"))
+        seen[batches] = event_key(DT.merge_event_log(log.drop("batch")).collect())
+    assert seen[1] and seen[1] == seen[4] == seen[9]
+
+
 def test_detector_initial_state(spark, world, tmp_path):
     plan, fixes, ordered = world
     half = len(ordered) // 2
