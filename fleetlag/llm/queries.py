@@ -14,6 +14,7 @@ from fleetlag.llm import (
     op8_substrings,
     op9_suffix_tree,
     op10_pii,
+    oracles,
 )
 from fleetlag.llm.texts import bounded_batches, documents
 
@@ -72,4 +73,8 @@ QUERIES = {
     "op7_quality_scores": op7_quality_scores,
     "op4_bpe_round_trip": op4_bpe_round_trip,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_jaccard_join": oracles.JACCARD,
+    "op5_contamination_index": oracles.CONTAMINATION,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+}
