@@ -7,9 +7,9 @@ A document's set holds the fingerprints of its distinct five-word shingles. Docu
 2. One packed exchange gives every shingle its frequency class (log2 of the number of representatives that hold
    it). A link needs ``ceil(3n/4)`` shared shingles, so a set with fewer shingles of frequency two or more has no
    partner and leaves.
-3. Groups by the smallest shingle under a hash are streamed: a set is compared with the group's first leaders.
-   Links found so merge most of a group of near copies without forming its pairs; large groups are split by a
-   salt. These are true links; nothing is concluded from links not found.
+3. Groups by the smallest shingle under a hash are streamed, sets of the most frequent shingles first: a set is
+   compared with the group's first leaders, of which the text that all near copies come from is one. Links found so
+   merge most of a group without forming its pairs; large groups are split by a salt. These are true links; nothing is concluded from links not found.
 4. Candidates between different components so far: pairs that share a prefix token under every one of ``ORDERS``
    global orders. Each order sorts by frequency class, rarest first, then by its own hash; a prefix has
    ``n - ceil(3n/4) + 1`` tokens. Prefix tokens held by one component only are dropped first. The orders' pair
@@ -17,7 +17,7 @@ A document's set holds the fingerprints of its distinct five-word shingles. Docu
 5. Components of all links.
 
 Rows: null and empty texts have empty sets and stand alone; fewer than five words make one shingle; repeated rows
-are in one class; rows that share a doc_id count as one node; rows without doc_id are left out. Other columns are
+are in one class; rows of one doc_id with different texts are different sets; rows without doc_id are left out. Other columns are
 ignored.
 """
 
@@ -106,11 +106,18 @@ def frequency_classes(keys, doc_ids, rows) -> np.ndarray:
     return out
 
 
+def node_of(doc_id: str, text_hash: str):
+    return F.xxhash64(doc_id, text_hash).alias("node")
+
+
 def surviving_sets(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Sets that may have a partner: ``doc_id, n, tokens, classes``, without their unique shingles."""
+    """Sets that may have a partner: ``node, n, held, purity, tokens, classes``, without their unique shingles.
+
+    ``node`` numbers a class by its first row; ``held`` counts its shingles of frequency two or more; ``purity`` is
+    their mean frequency class over the whole set, highest for the text that a group of near copies comes from."""
     spark = docs.sparkSession
     parts = part_count(spark)
-    kept = docs.join(first, ["doc_id", "text_hash"])
+    kept = docs.join(first, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
     def ask(batches):
         for b in batches:
@@ -126,16 +133,20 @@ def surviving_sets(docs: DataFrame, first: DataFrame) -> DataFrame:
             out = []
             for start, end, parts_of in zip([0, *ends[:-1]], ends, b["flags"].to_pylist()):
                 flag = unpacked(values[start:end], parts, parts_of)
-                out.append((end - start, values[start:end][flag > 0].tobytes(), flag[flag > 0].tobytes()))
-            n, tokens, classes = zip(*out) if out else ((), (), ())
+                live = flag > 0
+                size, purity = end - start, float(flag.sum(dtype=np.int64)) / max(1, end - start)
+                out.append((size, int(live.sum()), purity, values[start:end][live].tobytes(), flag[live].tobytes()))
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n, pa.int64()), pa.array(tokens, pa.binary()), pa.array(classes, pa.binary())],
-                ["doc_id", "n", "tokens", "classes"],
+                [b["node"], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                ["node", "n", "held", "purity", "tokens", "classes"],
             )
 
     # the smallest need of a set is checked before its text is read again
     candidates = kept.join(flags, ["doc_id", "text_hash"]).where(F.expr("held >= (3 * n + 3) div 4"))
-    return cut_lineage(candidates.select("doc_id", "text", "flags").mapInArrow(collect, "doc_id long, n long, tokens binary, classes binary"))
+    schema = "node long, n long, held long, purity double, tokens binary, classes binary"
+    return cut_lineage(candidates.select(node_of("doc_id", "text_hash"), "text", "flags").mapInArrow(collect, schema))
 
 
 def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
@@ -146,7 +157,7 @@ def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
 
 
 def leader_links(sets: DataFrame, round_: int) -> DataFrame:
-    """True links ``a, b`` between sets that share the smallest shingle under the round's hash."""
+    """True links ``a, b`` of sets to a purer one that shares the smallest shingle under the round's hash."""
     seed = SEEDS[2 + round_]
 
     def keys(batches):
@@ -156,63 +167,59 @@ def leader_links(sets: DataFrame, round_: int) -> DataFrame:
                 v = mixed(np.frombuffer(t, np.uint64) ^ seed)
                 key.append(int(v.min().view(np.int64)) if len(v) else 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), b["doc_id"], b["n"], b["tokens"]], ["key", "doc_id", "n", "tokens"]
+                [pa.array(key, pa.int64()), *[b[c] for c in ("node", "n", "purity", "tokens")]], ["key", "node", "n", "purity", "tokens"]
             )
 
-    rows = sets.select("doc_id", "n", "tokens").mapInArrow(keys, "key long, doc_id long, n long, tokens binary")
-    wide = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP)
-    salt = F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / GROUP)))
+    schema = "key long, node long, n long, purity double, tokens binary"
+    rows = sets.select("node", "n", "purity", "tokens").mapInArrow(keys, schema)
+    wide = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP))
+    salt = F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)))
     dealt = rows.join(F.broadcast(wide) if wide.count() < 100_000 else wide, "key", "left").withColumn("salt", salt).drop("size")
 
     def lead(batches):
         group, leaders = None, []
         for b in batches:
             a_ids, b_ids = [], []
-            for key, salt, doc, n, tokens in zip(*[b[c].to_pylist() for c in ("key", "salt", "doc_id", "n", "tokens")]):
+            for key, salt, node, n, tokens in zip(*[b[c].to_pylist() for c in ("key", "salt", "node", "n", "tokens")]):
                 if (key, salt) != group:
                     group, leaders = (key, salt), []
                 mine = np.frombuffer(tokens, np.uint64)
                 for other, m, theirs in leaders:
-                    if other != doc and linked(mine, n, theirs, m):
-                        a_ids.append(doc)
+                    if other != node and linked(mine, n, theirs, m):
+                        a_ids.append(node)
                         b_ids.append(other)
                         break
                 else:
                     if len(leaders) < LEADERS:
-                        leaders.append((doc, n, mine))
+                        leaders.append((node, n, mine))
             yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"])
 
-    placed = dealt.repartition(partitions(sets.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
-    return placed.mapInArrow(lead, "a long, b long")
-
-
-def with_component(sets: DataFrame, found: DataFrame) -> DataFrame:
-    known = components(found).withColumnRenamed("node", "doc_id")
-    return sets.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = dealt.repartition(partitions(sets.sparkSession), "key", "salt")
+    return placed.sortWithinPartitions("key", "salt", F.desc("purity"), "node").mapInArrow(lead, "a long, b long")
 
 
 def prefixes(sets: DataFrame, order: int) -> DataFrame:
-    """``token, doc_id, n, component`` for the prefix tokens of each set under one global order."""
+    """``token, node, n, held, component`` for the prefix tokens of each set under one global order."""
     seed = SEEDS[8 + order]
 
     def run(batches):
         for b in batches:
-            tokens, docs, sizes, comps = [], [], [], []
-            for doc, n, comp, t, c in zip(*[b[x].to_pylist() for x in ("doc_id", "n", "component", "tokens", "classes")]):
+            lists = []
+            names = ("n", "held", "tokens", "classes")
+            for n, held, t, c in zip(*[b[x].to_pylist() for x in names]):
                 v, c = np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8)
-                length = max(0, n - int(needed(n)) + 1 - (n - len(v)))  # unique shingles come first
-                first = v[np.lexsort((mixed(v ^ seed), c))[:length]]
-                tokens.append(first)
-                docs.append(np.full(len(first), doc))
-                sizes.append(np.full(len(first), n))
-                comps.append(np.full(len(first), comp))
-            join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+                length = max(0, n - int(needed(n)) + 1 - (n - held))  # unique shingles come first
+                lists.append(v[np.lexsort((mixed(v ^ seed), c))[:length]])
+            many = np.array([len(x) for x in lists], np.int64)
+            tokens = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            wide = lambda name: pa.array(np.repeat(b[name].to_numpy(zero_copy_only=False), many))
+            columns = ["node", "n", "held", "component"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(join(tokens, np.uint64).view(np.int64)), *[pa.array(join(x, np.int64)) for x in (docs, sizes, comps)]],
-                ["token", "doc_id", "n", "component"],
+                [pa.array(tokens.view(np.int64)), *[wide(c) for c in columns]], ["token", *columns]
             )
 
-    return sets.mapInArrow(run, "token long, doc_id long, n long, component long")
+    kept = sets.select("node", "n", "held", "component", "tokens", "classes")
+    return kept.mapInArrow(run, "token long, node long, n long, held long, component long")
 
 
 def across(prefix: DataFrame) -> DataFrame:
@@ -222,28 +229,32 @@ def across(prefix: DataFrame) -> DataFrame:
 
 
 def cross_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share a prefix token under every order."""
+    """Pairs of sets in different components that share a prefix token under every order.
+
+    Unique shingles never match, so two sets share at most the smaller ``held`` of them; a pair whose sizes ask for more
+    is left out before it is formed."""
     lists, left = [], sets
     for order in range(ORDERS):
         rows = cut_lineage(across(prefixes(left, order)))
         lists.append(rows)
-        left = left.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    keep = left.select("doc_id").distinct()
+        left = left.join(rows.select("node").distinct(), "node", "left_semi")
+    keep = cut_lineage(left.select("node").distinct())
     met = None
+    enough = F.expr("7 * least(l_held, held) >= 3 * (l_n + n)")  # 100 x >= 75 (m + n - x)
     for order, rows in enumerate(lists):
-        rows = rows.join(keep, "doc_id", "left_semi")
-        other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("doc_id", "n", "component")])
+        rows = rows.join(keep, "node", "left_semi")
+        other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("node", "n", "held", "component")])
         pairs = (
             other.join(rows, "token")
-            .where("l_doc_id < doc_id AND l_component <> component AND 4 * least(l_n, n) >= 3 * greatest(l_n, n)")
-            .select(F.col("l_doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1 << order).alias("o"))
+            .where((F.col("l_node") < F.col("node")) & (F.col("l_component") != F.col("component")) & enough)
+            .select(F.col("l_node").alias("a"), F.col("node").alias("b"), F.lit(1 << order).alias("o"))
         )
         met = pairs if met is None else met.union(pairs)
     return met.groupBy("a", "b").agg(F.bit_or("o").alias("o")).where(F.col("o") == (1 << ORDERS) - 1).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n_" + k), F.col("tokens").alias("t_" + k))
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias("n_" + k), F.col("tokens").alias("t_" + k))
 
     def run(batches):
         for b in batches:
@@ -257,17 +268,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Links between class representatives that join all linked documents (a spanning part of them)."""
+def labels_of(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """``node, component``: the root of each set's tree. A set has one parent, met in the round that took the set out,
+    so trees are at most ``ROUNDS`` deep and no loop is needed."""
+    out = nodes.withColumn("component", F.col("node"))
+    for _ in range(ROUNDS):
+        step = parents.select(F.col("a").alias("component"), "b")
+        out = out.join(step, "component", "left").select("node", F.coalesce("b", "component").alias("component"))
+    return cut_lineage(out)
+
+
+def links(docs: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels of the sets that may have partners, and the links ``a, b`` found between different labels."""
     sets = surviving_sets(docs, first)
-    found, left = None, sets
+    parents, left = None, sets
     for round_ in range(ROUNDS):
         new = cut_lineage(leader_links(left, round_))
-        found = new if found is None else found.union(new)
-        # members of a component go on as its smallest document; a set without links goes on itself
-        left = with_component(sets, found).where("doc_id = component")
-    labelled = cut_lineage(with_component(sets, found))
-    return found.union(cut_lineage(verified(cross_pairs(labelled), sets)))
+        parents = new if parents is None else parents.union(new)
+        left = sets.join(parents.select(F.col("a").alias("node")), "node", "left_anti")  # roots go on
+    labels = labels_of(sets.select("node"), parents)
+    labelled = cut_lineage(sets.join(labels, "node"))
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias("c_" + k))
+    met = verified(cross_pairs(labelled), sets).join(side("a"), "a").join(side("b"), "b")
+    return labels, cut_lineage(met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -277,15 +300,15 @@ def join(docs: DataFrame) -> DataFrame:
     classes = cut_lineage(
         profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     )
-    first = classes.select("k.doc_id", "k.text_hash", "n")
-    found = links(rows, first)
-    same_id = (  # classes that share an id are one node
-        profile.join(classes, ["n", "s1", "s2"]).where("doc_id <> k.doc_id").groupBy("doc_id").agg(F.min("k.doc_id").alias("b"))
-        .join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "b")
-    )
-    known = cut_lineage(components(found.union(same_id)))
-    by_class = classes.select("n", "s1", "s2", F.col("k.doc_id").alias("node")).join(known, "node", "left")
-    by_class = by_class.select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
+    labels, found = links(rows, classes.select("k.doc_id", "k.text_hash", "n"))
+    of_class = classes.select("n", "s1", "s2", F.col("k.doc_id").alias("first"), node_of("k.doc_id", "k.text_hash"))
+    labelled = of_class.join(labels, "node").drop("node")
+    if not found.isEmpty():
+        known = cut_lineage(components(found)).select(F.col("node").alias("component"), F.col("component").alias("c"))
+        labelled = labelled.join(known, "component", "left").withColumn("component", F.coalesce("c", "component")).drop("c")
+    least = labelled.groupBy("component").agg(F.min("first").alias("least"))
+    settled = labelled.join(least, "component").select("n", "s1", "s2", "least")
+    by_class = of_class.join(settled, ["n", "s1", "s2"], "left").select("n", "s1", "s2", F.coalesce("least", "first").alias("c"))
     return profile.join(by_class, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")
     )
