@@ -12,14 +12,15 @@ from fleetlag.operators.segments import PLAN_SEGMENT_S, bucket, running
 def resolve_ticks(records: DataFrame, vehicles: DataFrame, plan: DataFrame) -> DataFrame:
     """Records with the vehicle resolved (own id first, then by terminal) and ``skip`` naming why
     a record is not matched: ``unknown_vehicle``, ``unplanned`` or ``invalid_location``."""
-    known = vehicles.select("unit_id", F.col("tr_id").alias("by_unit"))
-    planned = plan.select("tr_id").distinct().withColumn("planned", F.lit(True))
-    joined = (
-        records.join(known, "unit_id", "left")
-        .withColumn("tr_id", F.coalesce("tr_id", "by_unit"))
-        .drop("by_unit")
-        .join(planned, "tr_id", "left")
-    )
+    known = vehicles.select(F.col("unit_id").alias("__u"), F.col("tr_id").alias("by_unit"))
+    planned = plan.select(F.col("tr_id").alias("__p")).distinct()
+    spread = F.xxhash64(*records.columns)  # rows without a key go everywhere instead of to one task
+
+    def attached(rows, side, key, other):
+        return rows.join(side, (F.coalesce(key, spread) == F.col(other)) & F.col(key).isNotNull(), "left")
+
+    named = attached(records, known, "unit_id", "__u").withColumn("tr_id", F.coalesce("tr_id", "by_unit"))
+    joined = attached(named.drop("__u", "by_unit"), planned, "tr_id", "__p").withColumnRenamed("__p", "planned")
     skip = (
         F.when(F.col("tr_id").isNull(), "unknown_vehicle")
         .when(F.col("planned").isNull(), "unplanned")

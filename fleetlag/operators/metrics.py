@@ -118,7 +118,8 @@ def tick_latency(telemetry: DataFrame, predictions: DataFrame) -> DataFrame:
     """Per tick: rows, when it was published, and when telemetry first reached its time.
 
     The running clock reaches T at the first delivered record with an event time of T or later: a
-    running minimum of the delivery order from the newest event time down.
+    running minimum of the delivery order from the newest event time down. Records of one event time are reduced to the
+    first delivered before anything is sorted, so a segment holds at most one row for each distinct time.
     """
     ticks = predictions.groupBy("t").agg(
         F.count(F.lit(1)).alias("n"),
@@ -126,7 +127,8 @@ def tick_latency(telemetry: DataFrame, predictions: DataFrame) -> DataFrame:
         F.max(F.col("model_version") == "fallback").alias("fallback"),
     )
     asks = ticks.select((-F.col("t")).alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("bigint").alias("__n"), F.struct(*ticks.columns).alias("__l"))
-    recs = telemetry.select((-F.col("t")).alias("__t"), F.lit(0).alias("__side"), F.col("row_id").alias("__n"), F.struct("row_id", "ms").alias("__r"))
+    first = telemetry.groupBy("t").agg(F.min(F.struct("row_id", "ms")).alias("__r"))
+    recs = first.select((-F.col("t")).alias("__t"), F.lit(0).alias("__side"), F.col("__r.row_id").alias("__n"), "__r")
     out = running(
         recs.unionByName(asks, allowMissingColumns=True), [], ["__t", "__side", "__n"],
         [bucket("__t", 3600)], {"__m": ("min", F.col("__r"))},
