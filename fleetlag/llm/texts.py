@@ -5,6 +5,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlag.session import cut_lineage
+
 #: Rows of one Arrow batch and bytes of one numpy step; they bound a task's memory.
 BATCH_ROWS = 1000
 STEP_BYTES = 2 << 20
@@ -133,8 +135,18 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
 
 
 def row_key(docs: DataFrame) -> DataFrame:
-    """``keyed`` with a hash of the text, which tells rows of one id apart."""
-    return keyed(docs).withColumn("text_hash", F.xxhash64("text"))
+    """``keyed`` with ``text_hash``: 0 for an id of one row, else the text's hash, which tells rows of one id apart.
+
+    Ids are unique as a rule, and a constant costs nothing where keys travel; the repeated ids are broadcast only if
+    they are few."""
+    rows = keyed(docs)
+    again = cut_lineage(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    many = again.count()
+    if not many:
+        return rows.withColumn("text_hash", F.lit(0).cast("long"))
+    again = again.withColumn("again", F.lit(True))
+    met = rows.join(F.broadcast(again) if many < 500_000 else again, "doc_id", "left")
+    return met.withColumn("text_hash", F.when(F.col("again"), F.xxhash64("text")).otherwise(0)).drop("again")
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
