@@ -25,7 +25,7 @@ from fleetlag.llm.repeats import KEY, Shard, Unit, covered, marked, segments, sp
 from fleetlag.llm.texts import first_copies, row_key, rows_bytes
 
 WINDOW = 50
-UNIT = Unit(words=False, length=WINDOW, gram=24, earlier=True)
+UNIT = Unit(words=False, length=WINDOW, gram=20, earlier=True)
 DEPTH = 64
 QUEUE = 16 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8 text
@@ -59,7 +59,7 @@ class BucketQueue:
         chunks, self.chunks[byte] = self.chunks[byte], []
         out = [self._load(c) if isinstance(c, tuple) else c for c in chunks]
         self.held -= sum(len(c) for c in chunks if not isinstance(c, tuple))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def _spill(self) -> None:
         if self.file is None:
@@ -69,13 +69,13 @@ class BucketQueue:
             for i, c in enumerate(chunks):
                 if not isinstance(c, tuple):
                     at = self.file.tell()
-                    self.file.write(c.astype(np.int64).tobytes())
-                    chunks[i] = (at, len(c))
+                    self.file.write(c.tobytes())
+                    chunks[i] = (at, c.nbytes, c.dtype)
         self.held = 0
 
-    def _load(self, where: tuple[int, int]) -> np.ndarray:
+    def _load(self, where: tuple) -> np.ndarray:
         self.file.seek(where[0])
-        return np.frombuffer(self.file.read(8 * where[1]), np.int64)
+        return np.frombuffer(self.file.read(where[1]), where[2])
 
 
 def eights(text: np.ndarray) -> np.ndarray:
@@ -130,7 +130,8 @@ def suffix_order(text: np.ndarray, queue: type = BucketQueue) -> np.ndarray:
         return np.arange(n)
     padded = np.concatenate([text, np.zeros(DEPTH + 8, np.uint8)])
     small = s_type(text)
-    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    place = np.int32 if n < 2**31 - DEPTH else np.int64
+    left = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(place)
     left = sorted_by_names(eights(padded), left)
     seeds, upward, downward = queue(), queue(), queue()
     seeds.push_all(text[left], left)
@@ -141,7 +142,7 @@ def suffix_order(text: np.ndarray, queue: type = BucketQueue) -> np.ndarray:
         before = before[small[before] == wanted]
         into.push_all(text[before], before)
 
-    upward.push(int(text[n - 1]), np.array([n - 1]))
+    upward.push(int(text[n - 1]), np.array([n - 1], place))
     for byte in range(256):
         while len(found := upward.pop(byte)):
             large[byte].append(found)
@@ -153,9 +154,10 @@ def suffix_order(text: np.ndarray, queue: type = BucketQueue) -> np.ndarray:
         while len(found := downward.pop(byte)):
             tail.append(found)
             induce(found, downward, True)
-        falling = np.concatenate(large[byte])[::-1] if large[byte] else np.zeros(0, np.int64)
+        falling = np.concatenate(large[byte])[::-1] if large[byte] else np.zeros(0, place)
+        large[byte] = []
         induce(falling, downward, True)
-        rising = np.concatenate(tail)[::-1] if tail else np.zeros(0, np.int64)
+        rising = np.concatenate(tail)[::-1] if tail else np.zeros(0, place)
         out[byte] = [falling[::-1], rising]
     return np.concatenate([x for part in out for x in part])
 
@@ -186,7 +188,8 @@ def judge(shard: Shard) -> np.ndarray:
     order = order[owner[order] >= 0]  # suffixes that start a window
     same = same_window(text, order)
     start = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
-    doc = shard.doc[owner[order]]
+    rank = np.unique(shard.doc, return_inverse=True)[1].astype(np.int32)  # documents by id
+    doc = rank[owner[order]]
     least = np.minimum.reduceat(doc, start) if len(order) else doc
     size = np.diff(np.append(start, len(order)))
     good = np.zeros(len(text) - DEPTH, bool)
