@@ -12,8 +12,9 @@ A document's set holds the fingerprints of its distinct five-word shingles. Docu
    merge most of a group without forming its pairs; large groups are split by a salt. These are true links; nothing is concluded from links not found.
 4. Candidates between different components so far: pairs that share a prefix token under every one of ``ORDERS``
    global orders. Each order sorts by frequency class, rarest first, then by its own hash; a prefix has
-   ``n - ceil(3n/4) + 1`` tokens. Prefix tokens held by one component only are dropped first. The orders' pair
-   lists are intersected, length-filtered and then verified on the whole sets.
+   ``n - ceil(3n/4) + 1`` tokens. The first order is joined by token, without the tokens that one component holds
+   alone; a pair is formed once, at its first common token, and must pass the other orders before its whole sets are
+   compared.
 5. Components of all links.
 
 Rows: null and empty texts have empty sets and stand alone; fewer than five words make one shingle; repeated rows
@@ -198,28 +199,33 @@ def leader_links(sets: DataFrame, round_: int) -> DataFrame:
     return placed.sortWithinPartitions("key", "salt", F.desc("purity"), "node").mapInArrow(lead, "a long, b long")
 
 
-def prefixes(sets: DataFrame, order: int) -> DataFrame:
-    """``token, node, n, held, component`` for the prefix tokens of each set under one global order."""
-    seed = SEEDS[8 + order]
+def prefix_of(tokens: np.ndarray, classes: np.ndarray, n: int, order: int) -> np.ndarray:
+    """Prefix of a set under one global order, without its unique shingles, which come first and match nothing."""
+    length = max(0, len(tokens) - int(needed(n)) + 1)
+    return tokens[np.lexsort((mixed(tokens ^ SEEDS[8 + order]), classes))[:length]]
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """``token, earlier, node, n, held, component``: the prefix tokens of each set under the first order, each with those
+    before it."""
 
     def run(batches):
         for b in batches:
             lists = []
-            names = ("n", "held", "tokens", "classes")
-            for n, held, t, c in zip(*[b[x].to_pylist() for x in names]):
-                v, c = np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8)
-                length = max(0, n - int(needed(n)) + 1 - (n - held))  # unique shingles come first
-                lists.append(v[np.lexsort((mixed(v ^ seed), c))[:length]])
+            for n, t, c in zip(*[b[x].to_pylist() for x in ("n", "tokens", "classes")]):
+                lists.append(prefix_of(np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8), n, 0).view(np.int64))
             many = np.array([len(x) for x in lists], np.int64)
-            tokens = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            tokens = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            earlier = [x[:i] for x in lists for i in range(len(x))]
             wide = lambda name: pa.array(np.repeat(b[name].to_numpy(zero_copy_only=False), many))
             columns = ["node", "n", "held", "component"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens.view(np.int64)), *[wide(c) for c in columns]], ["token", *columns]
+                [pa.array(tokens), pa.array(earlier, pa.list_(pa.int64())), *[wide(c) for c in columns]],
+                ["token", "earlier", *columns],
             )
 
     kept = sets.select("node", "n", "held", "component", "tokens", "classes")
-    return kept.mapInArrow(run, "token long, node long, n long, held long, component long")
+    return kept.mapInArrow(run, "token long, earlier array<long>, node long, n long, held long, component long")
 
 
 def across(prefix: DataFrame) -> DataFrame:
@@ -229,39 +235,38 @@ def across(prefix: DataFrame) -> DataFrame:
 
 
 def cross_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share a prefix token under every order.
+    """Pairs of sets in different components that share a prefix token under the first order, each formed once: at the
+    first token that both prefixes hold.
 
     Unique shingles never match, so two sets share at most the smaller ``held`` of them; a pair whose sizes ask for more
     is left out before it is formed."""
-    lists, left = [], sets
-    for order in range(ORDERS):
-        rows = cut_lineage(across(prefixes(left, order)))
-        lists.append(rows)
-        left = left.join(rows.select("node").distinct(), "node", "left_semi")
-    keep = cut_lineage(left.select("node").distinct())
-    met = None
+    rows = cut_lineage(across(prefixes(sets)))
+    other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("earlier", "node", "n", "held", "component")])
     enough = F.expr("7 * least(l_held, held) >= 3 * (l_n + n)")  # 100 x >= 75 (m + n - x)
-    for order, rows in enumerate(lists):
-        rows = rows.join(keep, "node", "left_semi")
-        other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("node", "n", "held", "component")])
-        pairs = (
-            other.join(rows, "token")
-            .where((F.col("l_node") < F.col("node")) & (F.col("l_component") != F.col("component")) & enough)
-            .select(F.col("l_node").alias("a"), F.col("node").alias("b"), F.lit(1 << order).alias("o"))
-        )
-        met = pairs if met is None else met.union(pairs)
-    return met.groupBy("a", "b").agg(F.bit_or("o").alias("o")).where(F.col("o") == (1 << ORDERS) - 1).select("a", "b")
+    return (
+        other.join(rows, "token")
+        .where((F.col("l_node") < F.col("node")) & (F.col("l_component") != F.col("component")) & enough)
+        .where(~F.arrays_overlap("l_earlier", "earlier"))
+        .select(F.col("l_node").alias("a"), F.col("node").alias("b"))
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias("n_" + k), F.col("tokens").alias("t_" + k))
+    """Pairs that share a prefix token under all other orders too and whose whole sets link."""
+    names = ["n", "tokens", "classes"]
+    side = lambda k: sets.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names])
 
     def run(batches):
         for b in batches:
-            hit = [
-                linked(np.frombuffer(x, np.uint64), m, np.frombuffer(y, np.uint64), n)
-                for x, m, y, n in zip(*[b[c].to_pylist() for c in ("t_a", "n_a", "t_b", "n_b")])
-            ]
+            hit = []
+            for m, x, cx, n, y, cy in zip(*[b[f"{c}_{k}"].to_pylist() for k in "ab" for c in names]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                cx, cy = np.frombuffer(cx, np.uint8), np.frombuffer(cy, np.uint8)
+                meet = all(
+                    len(np.intersect1d(prefix_of(x, cx, m, order), prefix_of(y, cy, n, order), assume_unique=True))
+                    for order in range(1, ORDERS)
+                )
+                hit.append(meet and linked(x, m, y, n))
             mask = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
 
