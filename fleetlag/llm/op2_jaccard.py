@@ -238,11 +238,12 @@ def cross_pairs(sets: DataFrame) -> DataFrame:
     """Pairs of sets in different components that share a prefix token under the first order, each formed once: at the
     first token that both prefixes hold.
 
-    Unique shingles never match, so two sets share at most the smaller ``held`` of them; a pair whose sizes ask for more
-    is left out before it is formed."""
+    Unique shingles never match, and neither do the tokens before the first common one, so two sets share at most the
+    smaller rest of their ``held`` tokens; a pair whose sizes ask for more is left out (positional filter)."""
     rows = cut_lineage(across(prefixes(sets)))
     other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("earlier", "node", "n", "held", "component")])
-    enough = F.expr("7 * least(l_held, held) >= 3 * (l_n + n)")  # 100 x >= 75 (m + n - x)
+    # at the first common token nothing before it is shared: x is at most what is left, and 100 x >= 75 (m + n - x)
+    enough = F.expr("7 * least(l_held - size(l_earlier), held - size(earlier)) >= 3 * (l_n + n)")
     return (
         other.join(rows, "token")
         .where((F.col("l_node") < F.col("node")) & (F.col("l_component") != F.col("component")) & enough)
