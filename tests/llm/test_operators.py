@@ -191,6 +191,33 @@ def test_language_model_is_a_distribution(spark):
         assert abs(total - 1) < 1e-9
 
 
+def test_language_model_scores_do_not_depend_on_the_frequent_part(docs, monkeypatch):
+    want = {r.doc_id: r.score for r in op9_suffix_tree.scores(docs.dropDuplicates(["doc_id"])).collect()}
+    monkeypatch.setattr(op9_suffix_tree, "SHARE", 0.02)
+    found = {r.doc_id: r.score for r in op9_suffix_tree.scores(docs.dropDuplicates(["doc_id"])).collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_language_model_keeps_a_sequence_when_unrelated_text_is_added(spark):
+    import zlib
+
+    trained = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != op9_suffix_tree.HELD_OUT]
+    held = next(i for i in range(60) if i not in trained)
+    rows = [(i, "alpha beta gamma delta") for i in trained[:5]] + [(i, "beta alpha delta") for i in trained[5:9]]
+    rows.append((held, "alpha beta gamma"))
+    phrases = cases.frame(spark, rows).select("doc_id", "text")
+
+    def gain(rows_of_filler):
+        filler = spark.range(100, 100 + rows_of_filler).selectExpr("id AS doc_id", "repeat('lorem ipsum ', 100000) AS text")
+        r = op9_suffix_tree.scores(phrases.unionByName(filler)).where(F.col("doc_id") == held).first()
+        return r.score - r.base_score, r.train_tokens
+
+    (small, _), (large, tokens) = gain(1), gain(20)
+    assert op9_suffix_tree.SHARE * tokens > 5  # the phrase is not in the frequent part
+    assert 0 < small < large  # its contexts hold, and words that are rarer gain more by them
+
+
 def test_personal_data(spark, docs, none):
     names = "doc_id n_email n_ip n_card n_phone base_sha256"
     same(op10_pii.find(docs), names, brute.personal(ROWS))
