@@ -1,11 +1,12 @@
-"""Suffix-array dedup by external induced sorting over bytes.
+"""Suffix-array dedup by induced sorting over bytes, one shard in memory at a time.
 
 Stretches that may be repeated are found and dealt by anchors (``repeats``). A shard is the text of its segments with
 a separator after each. Its suffixes are sorted by induction: the suffixes that start where the text falls and then
-rises (leftmost-S) are sorted by recursion over 8-byte names, down to ``DEPTH`` bytes; scanning buckets upwards then
+rises (leftmost-S) are sorted by repeated sorts of 8-byte names, down to ``DEPTH`` bytes; scanning buckets upwards then
 induces the order of all L suffixes, scanning downwards that of all S suffixes. The buckets are the priority queue:
 256 first-in-first-out lists of suffix tuples, popped in byte order, whose chunks go to a file of the task's own
-temporary folder beyond ``QUEUE`` tuples. With the order comes whether neighbours have ``WINDOW`` bytes in common;
+temporary folder beyond ``QUEUE`` tuples; this holds only tuples that wait, the order itself stays in memory, some 39
+bytes a byte of shard. With the order comes whether neighbours have ``WINDOW`` bytes in common;
 in each group of equal windows those of other documents than the smallest are marked. Common prefixes beyond the
 window are never needed, so names stop at ``DEPTH`` bytes and the common-prefix value is kept as that truth value.
 
