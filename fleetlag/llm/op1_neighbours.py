@@ -36,6 +36,7 @@ ITERATIONS = 12
 QUERY_BLOCK = 4096
 ENTRY_BLOCK = 8192
 STEP = 128
+GATHER = 1 / 16  # share of pairs up to which they are compared one by one
 
 
 def clean(embeddings: DataFrame) -> DataFrame:
@@ -136,10 +137,22 @@ def probed(asked: np.ndarray, stored: np.ndarray, radius: int) -> np.ndarray:
     for k in range(SUBSTRINGS):
         values, bucket = np.unique(s[:, k], return_inverse=True)
         near |= (np.bitwise_count(a[:, k, None] ^ values) <= radius // SUBSTRINGS)[:, bucket]
-    away = np.zeros(near.shape, np.uint16)
+    if np.count_nonzero(near) > near.size * GATHER:  # a scan of all pairs is cheaper
+        away = np.zeros(near.shape, np.uint16)
+        for w in range(asked.shape[1]):
+            away += np.bitwise_count(asked[:, w, None] ^ stored[:, w])
+        return near & (away <= radius)
+    row, at = np.nonzero(near)
+    near[row, at] = distances(asked, stored, row, at) <= radius
+    return near
+
+
+def distances(asked: np.ndarray, stored: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differing bits of pairs of codes."""
+    away = np.zeros(len(row), np.uint16)
     for w in range(asked.shape[1]):
-        away += np.bitwise_count(asked[:, w, None] ^ stored[:, w])
-    return near & (away <= radius)
+        away += np.bitwise_count(asked[row, w] ^ stored[at, w])
+    return away
 
 
 def block_search(queries, entries_, coder: Coder | None, keep: int):

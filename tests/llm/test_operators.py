@@ -291,6 +291,19 @@ def test_neighbours(spark):
     assert op1_neighbours.search(table.limit(0)).count() == 0
 
 
+def test_neighbours_compare_whole_codes_of_probed_pairs_only(monkeypatch):
+    r = np.random.default_rng(6)
+    stored = r.integers(0, 2**64, (300, 4), dtype=np.uint64)
+    asked = stored[:5] ^ np.uint64(1)
+    plain = np.bitwise_count(asked[:, None] ^ stored).sum(axis=2)
+    seen = []
+    real = op1_neighbours.distances
+    monkeypatch.setattr(op1_neighbours, "distances", lambda a, s, row, at: seen.append(len(row)) or real(a, s, row, at))
+    for radius in (3, 20, 40, 110, 256):
+        assert (op1_neighbours.probed(asked, stored, radius) == (plain <= radius)).all()
+    assert 5 <= seen[0] < asked.shape[0] * len(stored) / 16  # a narrow radius leaves few pairs
+
+
 def test_neighbours_of_few_rows(spark):
     rows = [(20 * i, [1.0, float(i)]) for i in range(4)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
