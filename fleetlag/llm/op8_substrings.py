@@ -2,7 +2,8 @@
 
 Suffixes that may be repeated are found and dealt by anchors (``repeats``). Inside a shard the suffixes that start
 windows are split by prefixes of growing length (1, 2, 4 ... words) until a group has at most ``GROUP`` suffixes;
-each group becomes one subtree, built by sorting its suffixes along the remaining prefix steps. Neighbours that
+a shard is read whole first, so ``GROUP`` bounds the sort and not the memory.
+Each group stands for one subtree, which is not built, by sorting its suffixes along the remaining prefix steps. Neighbours that
 agree on all steps hang below an internal node of ``WINDOW`` words or deeper, that is, they start a repeat. A group
 of one suffix is a leaf and is dropped at any length; a group still large at full depth is such a node as a whole.
 
