@@ -35,8 +35,8 @@ def model_forecast(spark, sf):
 @query("M7 M10")
 def model_report(spark, sf):
     table, *_ = _table(spark, sf)
-    _, reports, _ = MO.train(table, CONFIG)
-    return rounded(reports["cv"])
+    model, reports, _ = MO.train(table, CONFIG)
+    return rounded(reports["cv"]).withColumn("trees_at_cap", F.lit(model.meta["at_cap"]))
 
 
 @query("M12 A23")
