@@ -32,13 +32,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group that the n-gram Jaccard join links."""
     bounded_batches(spark)
     kept = op2_jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = hashed.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).join(kept, "doc_id", "left_semi")
-    return hashed.join(first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    mark = _unused("text_hash", docs)
+    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = hashed.groupBy("doc_id").agg(F.min(mark).alias(mark)).join(kept, "doc_id", "left_semi")
+    return hashed.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Of several rows of one doc_id all go if one is."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = op5_contamination.contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
     return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
