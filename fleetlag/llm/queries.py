@@ -14,6 +14,9 @@ from fleetlag.llm import (
     op8_substrings,
     op9_suffix_tree,
     op10_pii,
+    op11_alignment,
+    op12_packing,
+    op13_phrases,
     oracles,
 )
 from fleetlag.llm.texts import bounded_batches, documents
@@ -61,6 +64,18 @@ def op9_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     return op9_suffix_tree.scores(documents(spark, sf))
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return op11_alignment.align(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_window_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return op12_packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf: str) -> DataFrame:
+    return op13_phrases.collocations(documents(spark, sf, "lang", "text"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op9_suffix_tree_scores": op9_suffix_tree_scores,
@@ -72,9 +87,13 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op7_quality_scores": op7_quality_scores,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_window_packing": op12_window_packing,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 ORACLES = {
     "op2_jaccard_join": oracles.JACCARD,
     "op5_contamination_index": oracles.CONTAMINATION,
     "op8_substring_dedup": oracles.SUBSTRINGS,
+    "op13_phrase_mining": oracles.PHRASES,
 }

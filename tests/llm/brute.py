@@ -160,3 +160,78 @@ def personal(rows):
         spans = ",".join(f"{k}:{m.start()}:{m.end()}" for k, ms in found.items() for m in ms)
         out.append((doc, *[len(ms) for ms in found.values()], sha(spans)))
     return out
+
+
+def alignment(rows, path_a, path_b):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)"""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    lib_a, lib_b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    lib_a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def bytes_b(i):
+        p = lib_b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+
+    docs, counts = [], Counter()
+    for doc, text in rows:
+        whole = (" " + (text or "")).encode()
+        a = lib_a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = lib_b.encode(text) if text else []
+        parts_a = [bytes(letter[c] for c in lib_a.id_to_token(i)) for i in a]
+        parts_b = [bytes_b(i) for i in b]
+        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+            a = b = parts_a = parts_b = []
+        owner = lambda parts: [i for i, p in enumerate(parts) for _ in p]
+        links = {(i, j) for i, j in zip(owner(parts_a), owner(parts_b))}
+        ends = _running
+        end_a, end_b = ends(parts_a), ends(parts_b)
+        groups, x, y = [], 0, 0
+        for e in sorted(set(end_a) & set(end_b)):
+            nx, ny = end_a.index(e, x) + 1, end_b.index(e, y) + 1
+            groups.append(",".join(map(str, a[x:nx])) + "|" + ",".join(map(str, b[y:ny])))
+            x, y = nx, ny
+        linked = [(a[i], b[j]) for i, j in links]
+        counts.update(set(linked))
+        docs.append((doc, len(a), len(b), groups, linked))
+    best = {}
+    for (i, _), n in counts.items():
+        best[i] = max(best.get(i, 0), n)
+    return [
+        (doc, na, nb, len(g), len(ls), sum(counts[p] == best[p[0]] for p in ls), sum(counts[p] for p in ls), sha(";".join(g)) if na else "")
+        for doc, na, nb, g, ls in docs
+    ]
+
+
+def _running(parts):
+    out, n = [], 0
+    for p in parts:
+        n += len(p)
+        out.append(n)
+    return out
+
+
+def phrases(rows, minimum=10, absorb=50, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score); rows are (lang, text)"""
+    held, words = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            words[lang] += len(w)
+            held[lang].update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in held.items():
+        found = {p: a for p, a in c.items() if len(p) > 1 and a >= minimum}
+        gone = {q for p, a in found.items() if len(p) == 3 for q in (p[:2], p[1:]) if 100 * a >= absorb * found[q]}
+        listed = []
+        for p, a in found.items():
+            if p not in gone:
+                score, k = min((1000000 * a * a // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+                listed.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        for rank, (s, a, phrase, left, right) in enumerate(sorted(listed)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, words[lang], -s))
+    return out
