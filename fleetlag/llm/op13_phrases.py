@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlag.llm.texts import ascii_lower, byte_sums, mixed, part_count, partitions, rows_bytes, span
+from fleetlag.llm.texts import ascii_lower, byte_sums, mixed, part_count, partitions, rows_bytes, span, steps
 from fleetlag.session import cut_lineage, scratch_path
 
 MINIMUM = 10
 ABSORB = 50
 TOP = 2000
 SHARDS = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 PIECE_END = np.zeros(256, bool)
 PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -85,21 +85,31 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(mixed(left) * np.uint64(0xD6E8FEB86659FD93) + right)
 
 
-def block_of(texts: list[bytes], seed: np.uint64) -> tuple[int, bytes, bytes]:
-    """Number of words, distinct words by ascending key, and the codes of all words; each text ends a piece."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Key, start and end of every word, whether it starts a piece, and the lower-case bytes; each text ends a piece."""
     data = ascii_lower(np.frombuffer(b"\n".join(texts), np.uint8))
-    inside = ~WORD_END[data]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    edge = np.diff((~WORD_END[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keys = mixed(span(byte_sums(data), starts, ends) ^ seed)
-    _, first, codes = np.unique(keys, return_index=True, return_inverse=True)
-    piece = np.cumsum(PIECE_END[data])[starts]
+    piece = np.searchsorted(np.flatnonzero(PIECE_END[data]), starts)
+    return span(byte_sums(data), starts, ends), starts, ends, np.diff(piece, prepend=-1) != 0, data.tobytes()
+
+
+def block_of(texts: list[bytes], seed: np.uint64) -> tuple[int, bytes, bytes]:
+    """Number of words, distinct words by ascending key, and the codes of all words."""
+    held = [words_of(texts[a:b]) for a, b in steps([len(t) for t in texts])]
+    keys, first, codes = np.unique(mixed(np.concatenate([h[0] for h in held]) ^ seed), return_index=True, return_inverse=True)
     codes = codes.astype(np.uint32)
-    codes[np.diff(piece, prepend=-1) != 0] |= NEW_PIECE
-    raw = data.tobytes()
-    words = b" ".join([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+    codes[np.concatenate([h[3] for h in held])] |= NEW_PIECE
+    upto = np.cumsum([0, *[len(h[0]) for h in held]])
+    step = np.searchsorted(upto, first, "right") - 1
+    words = [b""] * len(keys)
+    for i, (_, starts, ends, _, raw) in enumerate(held):
+        mine = np.flatnonzero(step == i)
+        at = first[mine] - upto[i]
+        for k, a, b in zip(mine.tolist(), starts[at].tolist(), ends[at].tolist()):
+            words[k] = raw[a:b]
     press = zstandard.ZstdCompressor(level=1).compress
-    return len(starts), press(words), press(planes(codes))
+    return len(codes), press(b" ".join(words)), press(planes(codes))
 
 
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
@@ -289,6 +299,7 @@ class Counting:
         spread = blocks(docs, shards).repartition(self.buckets, "block")
         self._append(spread, "blocks", ["shard"], "block")
         self.triples: list[DataFrame] = []
+        self.named: list[DataFrame] = []
 
     def _append(self, rows: DataFrame, name: str, split: list[str], by: str) -> None:
         table = self.names[name]
@@ -313,10 +324,7 @@ class Counting:
 
     def met(self, blocks: DataFrame, *answers: DataFrame) -> DataFrame:
         """Blocks with the answers that they got."""
-        every = answers[0]
-        for more in answers[1:]:
-            every = every.union(more)
-        return blocks.join(every.groupBy("block").agg(F.collect_list("given").alias("given")), "block")
+        return blocks.join(united(answers).groupBy("block").agg(F.collect_list("given").alias("given")), "block")
 
     def ask(self, name: str, t: int, asks: DataFrame) -> None:
         """Deal the asks of step ``t`` to the parts, and keep answers and counts."""
@@ -383,22 +391,43 @@ class Counting:
         return self.met(self.shard(t), self.answers("words", t if t < 2 * shards else t - shards), self.answers("pairs", *steps))
 
     def count_triples(self, t: int) -> None:
+        """Count the triples of step ``t``; in the last cycle also name each frequent pair, by the one block told to."""
         shards, read = self.shards, self.reader(t)
+        naming = t >= 2 * shards
+        kinds = pa.schema(
+            [(n, pa.int64()) for n in ("k12", "k23", "c")] + [(n, pa.string()) for n in "lang x y".split()] + [(n, pa.int64()) for n in ("kx", "ky", "k")]
+        )
+
+        def filled(columns):
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in kinds], schema=kinds)
+
+        def key(keys):
+            return pa.array(keys.view(np.int64))
 
         def run(batches):
             for b in batches:
                 for row in b.to_pylist():
-                    _, pairs, flags, _ = read(row)
+                    block, pairs, flags, _ = read(row)
                     since = (flags & ~np.uint8(EMIT)).astype(np.int64)
                     left, right = pairs.triples(since)
                     live = t - np.maximum(since[left], since[right]) < shards
                     ids, counts = np.unique(left[live] * len(since) + right[live], return_counts=True)
-                    columns = [pairs.keys[ids // max(1, len(since))], pairs.keys[ids % max(1, len(since))]]
-                    yield pa.RecordBatch.from_arrays(
-                        [*[pa.array(c.view(np.int64)) for c in columns], pa.array(counts.astype(np.int64))], ["k12", "k23", "c"]
-                    )
-
-        self.triples.append(cut_lineage(self.answered_blocks(t).mapInArrow(run, "k12 long, k23 long, c long")))
+                    first, second = pairs.keys[ids // max(1, len(since))], pairs.keys[ids % max(1, len(since))]
+                    yield filled({"k12": key(first), "k23": key(second), "c": pa.array(counts.astype(np.int64))})
+                    if naming:
+                        mine = np.flatnonzero(flags & EMIT)
+                        columns = {"lang": pa.array([row["lang"]] * len(mine), pa.string()), "k": key(pairs.keys[mine])}
+                        for side, codes in (("x", pairs.left[mine]), ("y", pairs.right[mine])):
+                            columns[side] = pa.array([block.words[i].decode() for i in codes.tolist()], pa.string())
+                            columns["k" + side] = key(block.keys[codes])
+                        yield filled(columns)
+
+        schema = "k12 long, k23 long, c long, lang string, x string, y string, kx long, ky long, k long"
+        found = cut_lineage(self.answered_blocks(t).mapInArrow(run, schema))
+        self.triples.append(found.where("c IS NOT NULL").select("k12", "k23", "c"))
+        if naming:
+            self.named.append(found.where("k IS NOT NULL").select("lang", "x", "y", "kx", "ky", "k"))
 
     def run(self) -> None:
         for t in range(3 * self.shards):
@@ -419,29 +448,12 @@ class Counting:
 
         return self.table(name).where(F.col("kind") == DELTA).groupBy("part").applyInArrow(run, "key long, f long")
 
-    def named_pairs(self) -> DataFrame:
-        """``lang, x, y, kx, ky, k`` of every frequent pair, from the one block that was told to name it."""
-        found = None
-        for t in range(2 * self.shards, 3 * self.shards):
-            read = self.reader(t)
-
-            def run(batches, read=read):
-                for b in batches:
-                    for row in b.to_pylist():
-                        block, pairs, flags, _ = read(row)
-                        mine = np.flatnonzero(flags & EMIT)
-                        left, right = pairs.left[mine], pairs.right[mine]
-                        word = lambda codes: pa.array([block.words[i].decode() for i in codes.tolist()], pa.string())
-                        key = lambda keys: pa.array(keys.view(np.int64))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["lang"]] * len(mine), pa.string()), word(left), word(right)]
-                            + [key(block.keys[left]), key(block.keys[right]), key(pairs.keys[mine])],
-                            ["lang", "x", "y", "kx", "ky", "k"],
-                        )
 
-            rows = self.answered_blocks(t).mapInArrow(run, "lang string, x string, y string, kx long, ky long, k long")
-            found = rows if found is None else found.union(rows)
-        return found
+def united(frames) -> DataFrame:
+    whole = frames[0]
+    for more in frames[1:]:
+        whole = whole.union(more)
+    return whole
 
 
 def collocations(
@@ -451,14 +463,11 @@ def collocations(
     counting = Counting(docs, shards, minimum)
     counting.run()
     words = counting.frequent("words")
-    named = counting.named_pairs().join(counting.frequent("pairs").select(F.col("key").alias("k"), F.col("f").alias("a")), "k")
+    named = united(counting.named).join(counting.frequent("pairs").select(F.col("key").alias("k"), F.col("f").alias("a")), "k")
     for side in "xy":
         named = named.join(words.select(F.col("key").alias("k" + side), F.col("f").alias("f" + side)), "k" + side)
     pairs = cut_lineage(named.select("lang", "x", "y", "k", "a", "fx", "fy"))
-    every = counting.triples[0]
-    for more in counting.triples[1:]:
-        every = every.union(more)
-    triples = cut_lineage(every.groupBy("k12", "k23").agg(F.sum("c").alias("a")).where(F.col("a") >= minimum))
+    triples = cut_lineage(united(counting.triples).groupBy("k12", "k23").agg(F.sum("c").alias("a")).where(F.col("a") >= minimum))
     totals = cut_lineage(counting.table("blocks").groupBy("lang").agg(F.sum("n").alias("n")))
     counting.forget()
 
