@@ -13,8 +13,8 @@ A document's set holds the fingerprints of its distinct five-word shingles. Docu
 4. Candidates between different components so far: pairs that share a prefix token under every one of ``ORDERS``
    global orders. Each order sorts by frequency class, rarest first, then by its own hash; a prefix has
    ``n - ceil(3n/4) + 1`` tokens. The first order is joined by token, without the tokens that one component holds
-   alone; a pair is formed once, at its first common token, and must pass the other orders before its whole sets are
-   compared.
+   alone, a pair needs enough tokens after the places of its common one, and distinct pairs must pass the other orders
+   before their whole sets are compared.
 5. Components of all links.
 
 Rows: null and empty texts have empty sets and stand alone; fewer than five words make one shingle; repeated rows
@@ -206,8 +206,7 @@ def prefix_of(tokens: np.ndarray, classes: np.ndarray, n: int, order: int) -> np
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``token, earlier, node, n, held, component``: the prefix tokens of each set under the first order, each with those
-    before it."""
+    """``token, place, node, n, held, component``: the prefix tokens of each set under the first order, with their places."""
 
     def run(batches):
         for b in batches:
@@ -216,16 +215,15 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 lists.append(prefix_of(np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8), n, 0).view(np.int64))
             many = np.array([len(x) for x in lists], np.int64)
             tokens = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            earlier = [x[:i] for x in lists for i in range(len(x))]
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(many) - many, many)
             wide = lambda name: pa.array(np.repeat(b[name].to_numpy(zero_copy_only=False), many))
             columns = ["node", "n", "held", "component"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens), pa.array(earlier, pa.list_(pa.int64())), *[wide(c) for c in columns]],
-                ["token", "earlier", *columns],
+                [pa.array(tokens), pa.array(place), *[wide(c) for c in columns]], ["token", "place", *columns]
             )
 
     kept = sets.select("node", "n", "held", "component", "tokens", "classes")
-    return kept.mapInArrow(run, "token long, earlier array<long>, node long, n long, held long, component long")
+    return cut_lineage(kept.mapInArrow(run, "token long, place long, node long, n long, held long, component long"))
 
 
 def across(prefix: DataFrame) -> DataFrame:
@@ -235,20 +233,20 @@ def across(prefix: DataFrame) -> DataFrame:
 
 
 def cross_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share a prefix token under the first order, each formed once: at the
-    first token that both prefixes hold.
+    """Pairs of sets in different components that share a prefix token under the first order, each once.
 
     Unique shingles never match, and neither do the tokens before the first common one, so two sets share at most the
-    smaller rest of their ``held`` tokens; a pair whose sizes ask for more is left out (positional filter)."""
+    smaller rest of their ``held`` tokens from there; a pair whose sizes ask for more is left out (positional filter)."""
     rows = cut_lineage(across(prefixes(sets)))
-    other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("earlier", "node", "n", "held", "component")])
-    # at the first common token nothing before it is shared: x is at most what is left, and 100 x >= 75 (m + n - x)
-    enough = F.expr("7 * least(l_held - size(l_earlier), held - size(earlier)) >= 3 * (l_n + n)")
+    other = rows.select("token", *[F.col(c).alias("l_" + c) for c in ("place", "node", "n", "held", "component")])
+    # at the first common token x shared ones are at most what is left, and 100 x >= 75 (m + n - x); a later common
+    # token asks the same of fewer, so a pair that passes at none of them is not linked
+    enough = F.expr("7 * least(l_held - l_place, held - place) >= 3 * (l_n + n)")
     return (
         other.join(rows, "token")
         .where((F.col("l_node") < F.col("node")) & (F.col("l_component") != F.col("component")) & enough)
-        .where(~F.arrays_overlap("l_earlier", "earlier"))
         .select(F.col("l_node").alias("a"), F.col("node").alias("b"))
+        .distinct()
     )
 
 

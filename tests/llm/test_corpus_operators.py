@@ -314,3 +314,27 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and found[100] == found[95] == 90
+
+
+def test_jaccard_of_two_very_long_near_copies(spark):
+    r = np.random.default_rng(11)
+    words = [f"w{x}" for x in r.integers(0, 50_000, 100_000)]
+    other = list(words)
+    for i in r.integers(0, 100_000, 2_000).tolist():
+        other[i] = "new"
+    far = list(words)
+    for i in range(0, 100_000, 12):
+        far[i] = "far"
+    rows = [(7, " ".join(words)), (8, " ".join(other)), (9, " ".join(far)), (10, "short text of six words here")]
+    same(op2_jaccard.join(cases.frame(spark, rows)), "doc_id n_shingles component_id", brute.jaccard(rows))
+
+
+def test_jaccard_pairs_are_formed_from_small_rows(spark):
+    tokens = np.arange(40_000, dtype=np.uint64)
+    sets = spark.createDataFrame(
+        [(i, 40_000, 40_000, i, tokens.tobytes(), np.ones(40_000, np.uint8).tobytes()) for i in (1, 2)],
+        "node long, n long, held long, component long, tokens binary, classes binary",
+    )
+    prefix = op2_jaccard.prefixes(sets)
+    assert prefix.count() == 2 * 10_001 and all(kind == "bigint" for _, kind in prefix.dtypes)
+    assert [tuple(r) for r in op2_jaccard.cross_pairs(sets).collect()] == [(1, 2)]
