@@ -1,7 +1,7 @@
 """Arrivals at planned stops recovered from GPS fixes.
 
-The geometry runs in the JVM: an interval join brings each stop its fixes from seven minutes
-before to fifteen minutes after the planned time, and only those within 80 m stay. What is
+The geometry runs in the JVM: a join by vehicle, time bucket and grid cell brings each stop the fixes
+around it from seven minutes before to fifteen minutes after the planned time, and those within 80 m stay. What is
 left, a short array per stop, is folded in timetable order, because an arrival bounds the search at
 the next stop and the last delay moves the expected time.
 """
@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlag import settings as S
-from fleetlag.functions import scalars as X
 from fleetlag.operators.folds import segmented_fold
-from fleetlag.operators.joins import interval_join
+from fleetlag.operators.grid import within
 from fleetlag.operators.segments import PLAN_SEGMENT_S, TRACK_SEGMENT_S, bucket, running
 
 SEARCH_WIDTH_S = S.ARRIVAL_BEFORE_S + S.ARRIVAL_AFTER_S
@@ -42,17 +41,17 @@ def stop_passes(plan: DataFrame, telemetry: DataFrame, radius_m: float = S.ARRIV
     ``near`` is bounded by the fixes of a 22-minute window. Broken consecutive numbers end a pass.
     """
     stops = plan.select("stop_id", "tr_id", "t_plan", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    pairs = interval_join(
+    near = within(
         stops,
         numbered_good_fixes(telemetry),
         ["tr_id"],
         F.col("t_plan") - S.ARRIVAL_BEFORE_S,
         F.col("t_plan") + S.ARRIVAL_AFTER_S,
         "t",
-        width=SEARCH_WIDTH_S,
+        SEARCH_WIDTH_S,
+        radius_m,
+        S.EARTH_RADIUS_M,
     )
-    d = X.haversine_m("lat", "lon", "s_lat", "s_lon")
-    near = pairs.withColumn("d", d).where(F.col("d") <= radius_m)
     return near.groupBy("stop_id").agg(
         F.sort_array(F.collect_list(F.struct("fix_no", "t", "d"))).alias("near")
     )

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fleetlag import settings as S
 from fleetlag.functions import scalars as X
-from fleetlag.operators.joins import asof_many, interval_join
+from fleetlag.operators.grid import within
+from fleetlag.operators.joins import asof_many
 from fleetlag.operators.segments import PLAN_SEGMENT_S, bucket, running
 
 
@@ -39,11 +40,10 @@ def visit_candidates(ticks: DataFrame, plan: DataFrame, settings: dict = S.DETEC
         "tr_id", "stop_id", "t_plan", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")
     )
     tol = settings["visit_time_tolerance_sec"]
-    pairs = interval_join(
-        ticks, visits, ["tr_id"], F.col("t") - tol, F.col("t") + tol, "t_plan", width=2 * tol
+    return within(
+        visits, ticks, ["tr_id"], F.col("t_plan") - tol, F.col("t_plan") + tol, "t", 2 * tol,
+        settings["stop_radius_m"], S.MATCHER_EARTH_RADIUS_M,
     )
-    d = X.haversine_m("lat", "lon", "s_lat", "s_lon", S.MATCHER_EARTH_RADIUS_M)
-    return pairs.withColumn("d", d).where(F.col("d") <= settings["stop_radius_m"])
 
 
 def unambiguous_matches(ticks: DataFrame, plan: DataFrame, settings: dict = S.DETECTOR) -> DataFrame:

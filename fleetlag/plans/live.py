@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlag import settings as S
 from fleetlag.functions import scalars as X
+from fleetlag.operators.grid import nearest
 from fleetlag.operators.joins import beside, interval_join
 from fleetlag.operators.segments import ID_SEGMENT, PLAN_SEGMENT_S, bucket, previous, running
 from fleetlag.plans.targets import latest_known_delay, pick_target
@@ -339,28 +340,18 @@ def vehicle_cards(records, plan, events, predictions, clock: float, span_s: floa
 
 
 def nearest_stop_km(track: DataFrame, plan: DataFrame) -> DataFrame:
-    """Track points with ``stop_km``, the distance to the nearest stop of their vehicle.
-
-    A vehicle's distinct stop places travel once as an array next to its points: the minimum is a
-    column expression and no (point, stop) pairs are shuffled.
-    """
-    places = (
-        plan.select("tr_id", "lat", "lon").distinct().groupBy("tr_id").agg(
-            F.collect_list(F.struct("lat", "lon")).alias("__places")
-        )
-    )
-    km = lambda p: X.haversine_m("lat", "lon", p["lat"], p["lon"], S.MAP_EARTH_DIAMETER_KM / 2)
-    return track.join(places, "tr_id", "left").withColumn(
-        "stop_km", F.array_min(F.transform("__places", km))
-    ).drop("__places")
+    """Track points with ``stop_km``, the distance to the nearest stop of their vehicle, by grids of growing rings."""
+    return nearest(track, plan, ["tr_id"], "stop_km", S.MAP_EARTH_DIAMETER_KM / 2, S.FIRST_RING_KM)
 
 
 def track_sections(track: DataFrame, plan: DataFrame) -> DataFrame:
     """Segments between neighbouring track points at most two minutes apart; ``away`` when either
-    end is more than three kilometres from every stop."""
-    far = nearest_stop_km(track, plan).withColumn(
-        "__far", F.coalesce(F.col("stop_km") > S.AWAY_FROM_PLAN_KM, F.lit(False))
-    )
+    end is more than three kilometres from every stop. One grid answers that: nothing else is searched."""
+    limit = S.AWAY_FROM_PLAN_KM
+    close = nearest(track, plan, ["tr_id"], "__km", S.MAP_EARTH_DIAMETER_KM / 2, limit, limit)
+    planned = plan.select("tr_id").distinct().withColumn("__planned", F.lit(True))
+    placed = F.col("__planned") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    far = close.join(planned, "tr_id", "left").withColumn("__far", F.coalesce(placed & F.col("__km").isNull(), F.lit(False)))
     pairs = previous(
         far, ["tr_id"], ["t", "row_id"], [bucket("t", 3600)],
         {"from_t": "t", "from_lat": "lat", "from_lon": "lon", "__from_far": "__far"},

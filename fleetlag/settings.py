@@ -61,6 +61,7 @@ SCHEDULE_BACK_S = 86_400
 CARD_SPAN_S = 1_800
 TRACK_GAP_S = 120
 AWAY_FROM_PLAN_KM = 3.0
+FIRST_RING_KM = 0.5
 CARD_HISTORY_ROWS = 240
 ALERT_LIMITS = (1, 1000)
 
