@@ -39,16 +39,25 @@ def model_report(spark, sf):
     return rounded(reports["cv"]).withColumn("trees_at_cap", F.lit(model.meta["at_cap"]))
 
 
-@query("M12 A23")
-def reason_contributions(spark, sf):
+def _adding_up(spark, sf, exact):
     table, *_ = _table(spark, sf)
     model = MO.fit_models(table, CONFIG, CONFIG.iterations, None)
-    parts = MO.contributions(model, table)
+    parts = MO.contributions(model, table, exact)
     total = sum((F.col(r) for r in S.REASONS), F.col("expected_s"))
     both = parts.join(model.predict(table).select("sample_id", "delay_s"), "sample_id")
     return both.withColumn("adds_up", F.abs(total - F.col("delay_s")) < 1e-6)
 
 
+@query("M12 A23")
+def reason_contributions(spark, sf):
+    return _adding_up(spark, sf, False)
+
+
+@query("M12 A23")
+def exact_reason_contributions(spark, sf):
+    return _adding_up(spark, sf, True)
+
+
 @query("M13 M11")
 def served_forecast(spark, sf):
     table, points, plan, fixes = _table(spark, sf)

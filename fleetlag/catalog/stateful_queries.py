@@ -12,6 +12,7 @@ from fleetlag.operators import detector as DT
 from fleetlag.operators import matching as M
 from fleetlag.operators.joins import beside
 from fleetlag.plans import evaluation as EV
+from fleetlag.sources import commits as CO
 
 
 def _events(spark, sf):
@@ -23,9 +24,8 @@ def detected_stop_events(spark, sf):
     return _events(spark, sf)
 
 
-@query("S18 A17 J9")
-def matcher_report(spark, sf):
-    """Coverage of points and recall of arrivals as one row."""
+def _report(spark, sf):
+    """Report row, compared points and recovered events of the matcher."""
     from fleetlag.session import cut_lineage
 
     events = cut_lineage(_events(spark, sf))
@@ -33,7 +33,26 @@ def matcher_report(spark, sf):
     coverage = EV.coverage_report(points.withColumn("reference_s", F.col("cur_dev_s")))
     recall = EV.recall_report(M.recall_rows(D.plan(spark, sf), D.facts(spark, sf), ticks(spark, sf), events))
     names = {c: f"arrival_{c}" for c in recall.columns}
-    return rounded(beside(coverage, recall.withColumnsRenamed(names)))
+    return rounded(beside(coverage, recall.withColumnsRenamed(names))), points, events
+
+
+@query("S18 A17 J9")
+def matcher_report(spark, sf):
+    """Coverage of points and recall of arrivals as one row."""
+    return _report(spark, sf)[0]
+
+
+@query("S18")
+def matcher_tables(spark, sf):
+    """The three tables of the report, committed together and read back: rows and newest time of each."""
+    from fleetlag.session import scratch_path
+
+    root = scratch_path(spark, "matcher")
+    CO.write_matcher_report(*_report(spark, sf), root)
+    points, events = CO.read_table(spark, root, "points"), CO.read_table(spark, root, "events")
+    covered = points.agg(F.count(F.lit(1)).alias("points"), F.count("estimate_s").alias("covered"))
+    found = events.agg(F.count(F.lit(1)).alias("events"), F.count_if("recovered").alias("recovered"), F.max("time_fact").alias("newest"))
+    return beside(beside(CO.read_table(spark, root, "report"), covered.withColumnRenamed("covered", "covered_points")), found)
 
 
 @query(

@@ -258,17 +258,21 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType, parts: list
     return spark.read.schema(schema).parquet(path).where(F.col("part").isin(*parts))
 
 
-def replace_reference(plan: DataFrame | None, vehicles: DataFrame | None, root: str) -> None:
-    """Rewrite the plan and vehicle tables. A missing input leaves its table alone; an input that
-    has rows but none valid is an error and touches nothing."""
-    named = [("plan", plan), ("vehicles", vehicles)]
+def checked_reference(plan: DataFrame | None, vehicles: DataFrame | None) -> list[tuple[str, DataFrame]]:
+    """Name and accepted rows of the given tables; one that has rows but none valid is an error."""
     good = []
-    for name, df in named:
+    for name, df in (("plan", plan), ("vehicles", vehicles)):
         if df is None:
             continue
         ok = df if "reject_reason" not in df.columns else accepted(df)
         if ok.isEmpty() and not df.isEmpty():
             raise ValueError(f"{name}: no valid rows, the stored table is kept")
         good.append((name, ok))
-    for name, ok in good:
+    return good
+
+
+def replace_reference(plan: DataFrame | None, vehicles: DataFrame | None, root: str) -> None:
+    """Rewrite the plan and vehicle tables, one after the other. A missing input leaves its table alone; an input that
+    has rows but none valid is an error and touches nothing. ``commits.reload_reference`` changes both at once."""
+    for name, ok in checked_reference(plan, vehicles):
         ok.write.mode("overwrite").parquet(f"{root}/{name}")

@@ -12,7 +12,7 @@ CORPUS = re.compile(r"op\d+_|pipeline$")  # these have tests of their own
 QUERIES = {k: v for k, v in entry.queries().items() if not CORPUS.match(k)}
 ORACLES = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 HEAVY = {
-    "model_forecast", "model_report", "reason_contributions", "served_forecast", "submission", "feature_importance",
+    "model_forecast", "model_report", "reason_contributions", "exact_reason_contributions", "served_forecast", "submission", "feature_importance",
     "outage_scorecard", "point_features", "point_features_gps_hint", "bootstrap_interval",
 }
 
