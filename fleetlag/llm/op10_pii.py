@@ -16,6 +16,8 @@ its words. Other columns are ignored.
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -314,7 +316,13 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:
 def all_spans(text: str, base, weights) -> list[tuple[str, int, int]]:
     """Base spans and the field's spans that overlap none of them, by kind, then start."""
     used = sorted((a, b) for _, a, b in base)
-    added = [x for x in field_spans(text, weights) if not any(a < x[2] and b > x[1] for a, b in used)]
+    starts, reach = [a for a, _ in used], list(accumulate((b for _, b in used), max))  # the furthest end up to each start
+
+    def free(start, end):
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
+    added = [x for x in field_spans(text, weights) if free(x[1], x[2])]
     return sorted([*base, *added], key=lambda x: (LABELS.index(x[0]), x[1], x[2]))
 
 

@@ -233,6 +233,26 @@ def test_personal_data(spark, docs, none):
     same(op10_pii.find(none), names, [])
 
 
+def test_spans_of_the_field_that_meet_no_base_span(monkeypatch):
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        spans = lambda n: [("email", int(a), int(a + d)) for a, d in zip(rng.integers(0, 300, n), rng.integers(1, 30, n))]
+        base, field = spans(int(rng.integers(0, 12))), spans(12)
+        monkeypatch.setattr(op10_pii, "field_spans", lambda text, weights: field)
+        want = [x for x in field if not any(a < x[2] and b > x[1] for _, a, b in base)]
+        assert sorted(op10_pii.all_spans("", base, None)) == sorted([*base, *want])
+
+
+def test_spans_of_a_very_long_text_take_no_square_time(monkeypatch):
+    import time
+
+    base = [("email", 10 * i, 10 * i + 4) for i in range(200_000)]
+    monkeypatch.setattr(op10_pii, "field_spans", lambda text, weights: [("phone", 10 * i + 5, 10 * i + 9) for i in range(200_000)])
+    start = time.process_time()
+    assert len(op10_pii.all_spans("", base, None)) == 400_000
+    assert time.process_time() - start < 20
+
+
 def test_segment_probabilities_sum_to_one():
     scores = np.random.default_rng(4).standard_normal((7, op10_pii.LONGEST, len(op10_pii.LABELS)))
     scores[:, 1:, 0] = -np.inf
