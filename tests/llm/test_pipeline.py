@@ -39,3 +39,12 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     found = pipeline.run(spark, SF)
     assert found.count() > 0 and {"doc_id", "n_tokens", "ids_sha256"} <= set(found.columns)
+
+
+def test_near_duplicates_keep_clashing_columns_and_one_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "mine", 5), (1, "a b c d e f", "mine", 5), (2, "a b c d e f", "keep-me", 6), (3, None, "x", 0), (4, "", "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, component_id int")
+    found = pipeline.near_duplicates(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted(tuple(r) for r in found.collect()) == [rows[0], rows[3], rows[4]]
+    assert pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
