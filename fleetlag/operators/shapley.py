@@ -12,9 +12,16 @@ from math import factorial
 
 import numpy as np
 
+MISSING = -1e7  # stands for NULL, next to a flag for trees that cannot learn its side
+
+
+def goes_left(x, cut, null_right):
+    """Whether values keep to the left of a split; a missing one takes the side that the split learned."""
+    return np.where(x == MISSING, ~np.asarray(null_right), x <= cut)
+
 
 def leaf_paths(tree: dict, player_of: np.ndarray) -> list[tuple[float, dict]]:
-    """Value of each leaf and, per player on its path, the splits ``(feature, cut, left)`` and the share of rows ``z``."""
+    """Value of each leaf and, per player on its path, the splits ``(feature, cut, null_right, left)`` and the share of rows ``z``."""
     out, waiting = [], [(0, {})]
     while waiting:
         at, path = waiting.pop()
@@ -25,8 +32,9 @@ def leaf_paths(tree: dict, player_of: np.ndarray) -> list[tuple[float, dict]]:
         for side in ("left", "right"):
             child = int(tree[side][at])
             splits, z = path.get(player, ((), 1.0))
-            step = (feature, float(tree["cut"][at]), side == "left")
-            waiting.append((child, {**path, player: ((*splits, step), z * tree["rows"][child] / tree["rows"][at])}))
+            step = (feature, float(tree["cut"][at]), bool(tree["null_right"][at]), side == "left")
+            share = tree["rows"][child] / tree["rows"][at] if tree["rows"][at] else 0.0  # no row comes here
+            waiting.append((child, {**path, player: ((*splits, step), z * share)}))
     return out
 
 
@@ -45,8 +53,8 @@ def shapley(tree: dict, matrix: np.ndarray, player_of: np.ndarray, players: int)
             continue
         keeps, shares = np.ones((k, len(matrix))), np.array([path[p][1] for p in names])
         for i, p in enumerate(names):
-            for feature, cut, left in path[p][0]:
-                keeps[i] *= (matrix[:, feature] <= cut) == left
+            for feature, cut, null_right, left in path[p][0]:
+                keeps[i] *= goes_left(matrix[:, feature], cut, null_right) == left
         weight = [factorial(t) * factorial(k - 1 - t) / factorial(k) for t in range(k)]
         for i, p in enumerate(names):
             sums = np.zeros((k, len(matrix)))  # by size of the subset of the others

@@ -14,7 +14,7 @@ def random_tree(rng, depth, features):
 
     def grow(level, rows):
         at = len(nodes)
-        nodes.append({"rows": rows, "value": float(rng.normal()), "leaf": True, "feature": 0, "cut": 0.0, "left": at, "right": at})
+        nodes.append({"rows": rows, "value": float(rng.normal()), "leaf": True, "feature": 0, "cut": 0.0, "left": at, "right": at, "null_right": False})
         if level < depth and rows >= 2 and rng.random() < 0.85:
             left = int(rng.integers(1, rows))
             nodes[at].update(leaf=False, feature=int(rng.integers(features)), cut=float(rng.normal()))
