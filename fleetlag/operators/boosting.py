@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlag.session import cut_lineage
@@ -76,6 +76,17 @@ class BoostedTrees:
         """The margin of each row of a table that has the features."""
         return margin_column([self], F.lit(0))
 
+    def importance(self) -> np.ndarray:
+        """Per feature what its splits change: the spread of the values on both sides, by rows."""
+        total = np.zeros(len(self.features))
+        for t in self.nodes()[1:]:
+            for i in np.flatnonzero(~t["leaf"]):
+                a, b = t["left"][i], t["right"][i]
+                if t["rows"][a] and t["rows"][b]:
+                    between = (t["value"][a] - t["value"][b]) ** 2 * t["rows"][a] * t["rows"][b] / t["rows"][i]
+                    total[t["feature"][i]] += between
+        return total / total.sum() if total.sum() else total
+
     def nodes(self) -> list[dict]:
         """The trees as arrays of nodes, a parent before its children; the start is a tree of one leaf."""
         one = np.zeros(1, dtype=int)
@@ -282,7 +293,10 @@ class _Fit:
         return g.reshape(shape), h.reshape(shape), lost[0] / SCALE / lost[1] if lost[1] else float("nan")
 
     def medians(self, splits: list[list]) -> np.ndarray:
-        """Weighted median of the residuals in each (model, leaf); zero where there is none."""
+        """Weighted median of the residuals in each (model, leaf); zero where there is none.
+
+        A pass answers with at most 65536 counts a leaf, some thousands for residuals of a usual range.
+        """
         models, size = self.models, 2 ** len(splits[0])
 
         def halves(chosen):
@@ -309,31 +323,25 @@ class _Fit:
                 np.add.at(total, place, np.concatenate(weights))
                 return part, total, np.zeros(len(part), dtype=np.int64)
 
-            return self._sums(per_task).select(F.expr("key div 65536").alias("node"), (F.col("key") % 65536).alias("half"), "a")
-
-        def passing(counts, before):
-            """First half at which the running weight of its node reaches half of all; at most 65536 rows a node."""
-            w = Window.partitionBy("node")
-            total = F.sum("a").over(w) if before is None else None
-            run = counts.withColumn("upto", F.sum("a").over(w.orderBy("half")))
-            if before is None:
-                hit = run.withColumn("total", total).where("2 * upto >= total")
-            else:
-                pairs = F.create_map(*[F.lit(int(v)) for node, need in before.items() for v in (node, need)])
-                hit = run.where(2 * F.col("upto") >= pairs[F.col("node")]).withColumn("total", F.lit(0))
-            return hit.groupBy("node").agg(F.min_by(F.struct("half", "upto", "a", "total"), "half").alias("r")).collect()
-
-        upper = {r.node: r.r for r in passing(halves(None), None)}
-        if not upper:
-            return np.zeros((models, size))
-        chosen = np.full(models * size, -1, dtype=np.int64)
-        for node, r in upper.items():
-            chosen[node] = r.half
-        # what the chosen upper half still lacks to one half of the weight, doubled
-        need = {node: r.total - 2 * (r.upto - r.a) for node, r in upper.items()}
+            got = self._sums(per_task).toArrow().sort_by("key")
+            key = got.column("key").to_numpy()
+            return key >> 16, key & 0xFFFF, got.column("a").to_numpy()
+
+        def passing(node, half, weight, before=None):
+            """Per node the first half at which the running weight reaches half of all, and the weight below it."""
+            for k in np.unique(node):
+                mine = node == k
+                upto = np.cumsum(weight[mine])
+                total, below = (upto[-1], 0) if before is None else before[k]
+                i = int(np.searchsorted(2 * (upto + below), total))
+                yield int(k), int(half[mine][i]), (int(total), int(below + upto[i] - weight[mine][i]))
+
+        chosen, need = np.full(models * size, -1, dtype=np.int64), {}
+        for node, half, total_below in passing(*halves(None)):
+            chosen[node], need[node] = half, total_below
         out = np.zeros(models * size)
-        for r in passing(halves(chosen), need):
-            out[r.node] = from_ordered_bits(chosen[r.node] << 16 | r.r.half)
+        for node, half, _ in passing(*halves(chosen), need):
+            out[node] = from_ordered_bits(chosen[node] << 16 | half)
         return out.reshape(models, size)
 
     def grow(self) -> tuple[list[Tree], float]:
