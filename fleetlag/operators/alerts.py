@@ -39,13 +39,17 @@ def alert_log(predictions: DataFrame, plan: DataFrame, events: DataFrame) -> Dat
         "sample_id", (F.col("risk_level") == "red").alias("red"),
         F.col("prediction_s").alias("seconds"), F.col("last_passed").alias("seg_from"),
     )
-    arrived = events.select(
+    return told.unionByName(arrival_log(events))
+
+
+def arrival_log(events: DataFrame) -> DataFrame:
+    """The arrivals' rows of the log."""
+    return events.select(
         "tr_id", F.col("time_fact").alias("t"), F.lit(0).alias("kind"), "stop_id",
         F.col("time_plan").alias("plan_t"), F.col("stop_id").cast("string").alias("sample_id"),
         F.lit(False).alias("red"), F.col("delay_s").alias("seconds"),
         F.lit(None).cast("bigint").alias("seg_from"),
     )
-    return told.unionByName(arrived)
 
 
 def react(alerts: dict, row: dict) -> list[tuple]:

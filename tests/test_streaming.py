@@ -235,3 +235,68 @@ def test_live_loop(spark, world, tmp_path):
     again = cut_lineage(spark.read.parquet(f"{root}/telemetry/batch=3"))  # the loop rewrites the folder
     loop(again, 3)
     assert sorted(r.sample_id for r in loop.table(spark, "predictions").collect()) == before
+
+
+@pytest.mark.parametrize("step", [225, 300, 450])
+def test_alerts_of_the_running_loop_equal_the_batch_lifecycle(spark, world, tmp_path, step):
+    """Arrivals come in while the loop runs, it stops and goes on."""
+    plan, _, ordered = world
+    plan = plan.withColumn("address", F.lit("street"))
+    schema = "tr_id bigint, stop_id bigint, time_plan double, time_fact double, delay_s double"
+    facts = [(tr, tr * 1000 + k, 86400.0 + 120 * k, 86400.0 + 120 * k + 30, 30.0) for tr in (1, 2) for k in range(12) if (k + tr) % 4]
+    arrivals = LP.ArrivalLog(str(tmp_path / "arrivals"))
+
+    def forecast(asked):
+        red = (F.floor(F.col("T") / 150) + F.col("tr_id")) % 3 > 0
+        return asked.select(
+            "sample_id", F.when(red, 900.0).otherwise(10.0).alias("prediction_s"), F.lit(0.5).alias("p_late"),
+            F.array(F.lit("current_delay")).alias("reasons"), F.lit("rule").alias("model_version"),
+        )
+
+    begin, end = 86370, 87270
+    cuts = [[f for f in ordered if lo <= f[1] < lo + step] for lo in range(begin, end, step)]
+    half, root = len(cuts) // 2, str(tmp_path / "live")
+    for part, files in enumerate((cuts[:half], cuts[half:])):  # the second run is a restart
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        for i, c in enumerate(files, part * half):
+            path = folder / f"{i:03d}.txt"
+            path.write_text("\n".join(line(f[0], f[1], f[3], f[4], f[5]) for f in c) + "\n")
+            os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+        if part == 0:
+            arrivals.append(spark.createDataFrame([f for f in facts if f[3] < begin + half * step], schema), 0)
+        else:
+            arrivals.append(spark.createDataFrame([f for f in facts if f[3] >= begin + half * step], schema), 1)
+        records = R.parse_telemetry(R.read_lines(spark, str(folder), 1)).where("reject_reason IS NULL")
+        records = records.withColumn("row_id", F.col("t").cast("bigint") * 10 + F.col("tr_id"))
+        loop = LP.LiveLoop(root, plan, arrivals, period_s=60, forecast=forecast)
+        LP.run_loop(records, loop, str(tmp_path / "ck")).awaitTermination()
+    told = loop.table(spark, "predictions").drop("__batch")
+    last = loop.state(spark, len(cuts)).last_tick
+    known = spark.createDataFrame([f for f in facts if f[3] <= last], schema)
+    key = lambda df: sorted(str(r.asDict()) for r in df.collect())
+    want = AL.alert_lifecycle(told, plan, known, segment_s=600.0)
+    got = loop.alerts(spark).select(*want.columns)
+    assert key(got) == key(want) and got.count() >= 1
+    if step == 225:
+        assert len({r.status for r in got.collect()}) >= 2
+    assert loop.alerts(spark).groupBy("tr_id", "target_stop_id", "opened_at").count().where("count > 1").isEmpty()
+
+
+def test_a_tick_reads_no_more_as_the_stream_ages(spark, world, tmp_path, monkeypatch):
+    plan = world[0].withColumn("address", F.lit("street"))
+    loop = LP.LiveLoop(str(tmp_path / "live"), plan, LP.ArrivalLog(str(tmp_path / "none")), period_s=60)
+    schema = "tr_id bigint, unit_id bigint, t double, ok boolean, lat double, lon double, speed double, row_id bigint"
+    asked = []
+    listed = loop._folders
+    monkeypatch.setattr(loop, "_folders", lambda name, held: asked.append(len(held)) or listed(name, held))
+    for i in range(6):
+        rows = [(1, 9, 86400.0 + 600.0 * i + j, True, 55.75, 37.6, 0.0, 10 * i + j) for j in range(3)]
+        loop(cut_lineage(spark.createDataFrame(rows, schema)), i)
+    assert asked[:4] == [1, 2, 3, 4] and set(asked[3:]) == {4}  # half an hour of batches, ten minutes apart
+    late = LP.ArrivalLog(str(tmp_path / "log"))
+    late.append(spark.createDataFrame([(1, 5, 0.0, 3600.0 * h + 5, 1.0) for h in range(40)], LP._ARRIVALS), 0)
+    late.append(spark.createDataFrame([(1, 5, 0.0, 3600.0 * h + 5, 1.0) for h in range(40)], LP._ARRIVALS), 0)
+    near = late(spark, 3600.0 * 30, 3600.0 * 31 + 10)
+    assert near.count() == 2 and len(near.inputFiles()) <= 2 * 8
+    assert late(spark, 1e9, 1e9 + 10) is None
