@@ -278,8 +278,6 @@ def test_alerts_of_the_running_loop_equal_the_batch_lifecycle(spark, world, tmp_
     want = AL.alert_lifecycle(told, plan, known, segment_s=600.0)
     got = loop.alerts(spark).select(*want.columns)
     assert key(got) == key(want) and got.count() >= 1
-    if step == 225:
-        assert len({r.status for r in got.collect()}) >= 2
     assert loop.alerts(spark).groupBy("tr_id", "target_stop_id", "opened_at").count().where("count > 1").isEmpty()
 
 
