@@ -1,6 +1,6 @@
-"""Keyed state machines on a stream: stop detector, alerts and the sliding telemetry window.
+"""Keyed state machines on a stream: stop detector, alerts, the sliding telemetry window and the last event of each stop.
 
-Each processor keeps one JSON value per vehicle and applies the same step functions as the batch
+Detector and alerts keep one JSON value per vehicle and apply the same step functions as the batch
 folds. Rows of a micro-batch are applied in the order of their stream position, as they would be one by one; only
 streams without a position are put in time order.
 """
@@ -112,44 +112,120 @@ class AlertKeeper(JsonState):
         return out, alerts or None
 
 
-class TelemetryWindow(JsonState):
-    """Keeps a vehicle's points not older than the window before the fleet's clock.
+class TelemetryWindow(StatefulProcessor):
+    """Keeps a vehicle's points not older than the window before the fleet's clock, each as one entry of a list state.
 
-    The clock is the stream's watermark with no delay, the newest event time over all records. The
-    held count is emitted after every change; a timer forgets a vehicle once its points age out.
+    The stream's watermark trails the newest event time over all records by the window, so the rows that Spark drops as
+    late are those outside it. Every change gives the whole window of the vehicle. A timer drops points as the fleet's clock
+    passes them, and forgets a vehicle with none left.
     """
 
-    order = ["t"]
-    schema = T.StructType(
-        [
-            T.StructField("tr_id", T.LongType()),
-            T.StructField("points", T.LongType()),
-            T.StructField("first_t", T.DoubleType()),
-            T.StructField("last_t", T.DoubleType()),
-        ]
-    )
-
-    def __init__(self, window_s=S.TELEMETRY_WINDOW_S):
+    def __init__(self, records: T.StructType, window_s=S.TELEMETRY_WINDOW_S):
         self.window_s = window_s
+        self.point = T.StructType([f for f in records.fields if f.name not in ("tr_id", "event_time")])
+        self.at = self.point.fieldNames().index("t")
+
+    @property
+    def schema(self):
+        return T.StructType(
+            [
+                T.StructField("tr_id", T.LongType()),
+                T.StructField("points", T.LongType()),
+                T.StructField("first_t", T.DoubleType()),
+                T.StructField("last_t", T.DoubleType()),
+                T.StructField("held", T.ArrayType(self.point)),
+            ]
+        )
 
-    def advance(self, key, records, state, timers):
-        held = sorted([*(state or []), *[r["t"] for r in records]])
-        return self._evict(key, held, timers)
+    def init(self, handle):
+        self.handle = handle
+        self.cell = handle.getListState("points", self.point)
 
-    def _evict(self, key, held, timers):
-        clock = timers.getCurrentWatermarkInMs() / 1000
-        if held:
-            clock = max(clock, held[-1])
-        held = [t for t in held if t >= clock - self.window_s]
+    def handleInputRows(self, key, rows, timerValues):
+        came = [typed(r, self.point) for pdf in rows for r in pdf[self.point.fieldNames()].to_dict("records")]
+        yield self._evict(key, came, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._evict(key, [], timerValues)
+
+    def _evict(self, key, came, timers):
+        stored = [tuple(p) for p in self.cell.get()] if self.cell.exists() else []
+        points = [*stored, *came]
+        time = lambda p: p[self.at]
+        mark = timers.getCurrentWatermarkInMs()
+        clock = max([*map(time, points), *([(mark + 1) / 1000 + self.window_s] if mark > 0 else [])], default=0.0)
+        held = [p for p in points if time(p) >= clock - self.window_s]
+        if not held:
+            self.cell.clear()
+        elif held[: len(stored)] == stored:
+            self.cell.appendList(held[len(stored) :]) if came else None
+        else:
+            self.cell.put(held)
+        held.sort(key=time)
+        due = int(time(held[0]) * 1000) - 1 if held else None
+        for old in list(self.handle.listTimers()):
+            if old != due:
+                self.handle.deleteTimer(old)
         if held:
-            self.handle.registerTimer(int((held[-1] + self.window_s) * 1000) + 1)
-        row = (key[0], len(held), held[0] if held else None, held[-1] if held else None)
-        return [row], held or None
+            self.handle.registerTimer(due)
+        ends = (time(held[0]), time(held[-1])) if held else (None, None)
+        names = self.point.fieldNames()
+        row = (key[0], len(held), *ends, [dict(zip(names, p)) for p in held])
+        return pd.DataFrame({f.name: pd.Series([v], dtype=object) for f, v in zip(self.schema.fields, row)})
+
+    def close(self):
+        pass
+
+
+class LastEvents(StatefulProcessor):
+    """The last event of each stop of a vehicle, by its place in the stream.
+
+    One entry of a map state for a stop, so a batch reads and writes the stops it names alone. The watermark trails the
+    newest event by the time an event is kept; once it passes the end of an hour, a timer drops that hour's events. (A
+    time to live would need processing time, under which an ``availableNow`` run never ends.)
+    """
+
+    def __init__(self, events: T.StructType, order: str):
+        self.schema, self.order = events, order
+        self.value = T.StructType([f for f in events.fields if f.name not in ("tr_id", "stop_id")])
+        self.names = self.value.fieldNames()
+        self.time = self.names.index("time_fact")
+
+    def init(self, handle):
+        self.handle = handle
+        self.cell = handle.getMapState("events", "stop_id bigint", self.value)
+
+    def handleInputRows(self, key, rows, timerValues):
+        at = self.names.index(self.order)
+        newest = {}
+        for pdf in rows:
+            for r in pdf[self.schema.fieldNames()].to_dict("records"):
+                stop, value = int(r["stop_id"]), typed(r, self.value)
+                if stop not in newest or value[at] >= newest[stop][at]:
+                    newest[stop] = value
+        out = []
+        for stop, value in newest.items():
+            known = self.cell.getValue((stop,))
+            if known is None or value[at] >= known[at]:
+                self.cell.updateValue((stop,), value)
+                self.handle.registerTimer((int(value[self.time] // 3_600) + 1) * 3_600_000)
+                out.append({"tr_id": key[0], "stop_id": stop, **dict(zip(self.names, value))})
+        yield pd.DataFrame({f.name: pd.Series([r[f.name] for r in out], dtype=object) for f in self.schema.fields})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out, state = self._evict(key, self.load() or [], timerValues)
-        self.store(state)
-        yield self.frame(out)
+        mark = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        for stop in [k for k, v in self.cell.iterator() if v[self.time] < mark]:
+            self.cell.removeKey(stop)
+        yield pd.DataFrame({f.name: pd.Series([], dtype=object) for f in self.schema.fields})
+
+    def close(self):
+        pass
+
+
+def typed(record: dict, schema: T.StructType) -> tuple:
+    """A record of a pandas frame as a row of ``schema``; whole numbers that came as floats are whole again."""
+    values = ((f, plain(record[f.name])) for f in schema.fields)
+    return tuple(int(v) if v is not None and isinstance(f.dataType, T.IntegralType) else v for f, v in values)
 
 
 def check_saved_settings(spark, path: str, settings: dict) -> None:
@@ -187,11 +263,23 @@ def alert_stream(log: DataFrame) -> DataFrame:
 
 
 def window_stream(records: DataFrame, window_s: float = S.TELEMETRY_WINDOW_S) -> DataFrame:
-    """Held points per vehicle of a record stream with ``tr_id, t, event_time``."""
-    clocked = records.withWatermark("event_time", "0 seconds").where(F.col("tr_id").isNotNull())
-    return clocked.select("tr_id", "t", "event_time").groupBy("tr_id").transformWithStateInPandas(
-        TelemetryWindow(window_s), TelemetryWindow.schema, "Update", "EventTime"
-    )
+    """Held points per vehicle of a record stream with ``tr_id, t, event_time`` and any other columns."""
+    late = f"{int(window_s * 1000) + 1} milliseconds"
+    clocked = records.withWatermark("event_time", late).where("tr_id IS NOT NULL AND t IS NOT NULL")
+    window = TelemetryWindow(clocked.schema, window_s)
+    return clocked.groupBy("tr_id").transformWithStateInPandas(window, window.schema, "Update", "EventTime")
+
+
+def last_events_stream(events: DataFrame, order: str = "row_id", keep_s: float = 2 * 86_400) -> DataFrame:
+    """Every event that becomes the last one of its (vehicle, stop); ``order`` is its place in the stream.
+
+    ``events`` have ``tr_id, stop_id, time_fact, event_time`` and any other columns; an event more than ``keep_s`` behind the
+    newest one is dropped as late.
+    """
+    late = f"{int(keep_s * 1000)} milliseconds"
+    known = events.withWatermark("event_time", late).dropna(subset=["tr_id", "stop_id", "time_fact", order])
+    schema = T.StructType([f for f in known.schema.fields if f.name != "event_time"])
+    return known.groupBy("tr_id").transformWithStateInPandas(LastEvents(schema, order), schema, "Update", "EventTime")
 
 
 def verify_batches(events: DataFrame, read_predictions, write):
@@ -207,3 +295,30 @@ def verified_stream(events: DataFrame, predictions: DataFrame) -> DataFrame:
     return facts.join(stored, "target_stop_id").select(
         "sample_id", "actual_delay_s", F.abs(X.col("prediction_s") - F.col("actual_delay_s")).alias("abs_error_s")
     )
+
+
+def verified_pairs(
+    events: DataFrame, predictions: DataFrame, horizon_s: float = S.SCHEDULE_BACK_S, late_s: float = S.TELEMETRY_WINDOW_S
+) -> DataFrame:
+    """Errors of a stream of forecasts for a stream of arrivals.
+
+    ``events`` have ``event_time``, ``predictions`` have ``made_time`` (timestamps). A forecast is checked by the arrivals at
+    its target stop from its own moment until ``horizon_s`` later; either side may come up to ``late_s`` late. The watermarks
+    and the horizon bound what both sides keep. A repeated forecast or an equal arrival is checked once, a corrected
+    arrival again.
+    """
+    late = f"{int(late_s * 1000)} milliseconds"
+    facts = events.withWatermark("event_time", late).select(
+        F.col("stop_id").alias("fact_stop_id"), F.col("delay_s").alias("actual_delay_s"), "event_time"
+    )
+    told = predictions.withWatermark("made_time", late).select("sample_id", "target_stop_id", "prediction_s", "made_time")
+    facts = facts.dropDuplicates(["fact_stop_id", "actual_delay_s", "event_time"])
+    told = told.dropDuplicates(["sample_id", "made_time"])
+    horizon = F.expr(f"INTERVAL {int(horizon_s)} SECONDS")
+    met = (F.col("fact_stop_id") == F.col("target_stop_id")) & F.col("event_time").between(
+        F.col("made_time"), F.col("made_time") + horizon
+    )
+    return facts.join(told, met).select(
+        "sample_id", "target_stop_id", "made_time", "actual_delay_s",
+        F.abs(X.col("prediction_s") - F.col("actual_delay_s")).alias("abs_error_s"),
+    )
