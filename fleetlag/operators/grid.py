@@ -67,12 +67,13 @@ def candidates(
 ) -> DataFrame:
     """Pairs of equal keys in neighbouring cells whose fix lies in the place's time interval, each once.
 
-    The time bucket stays in the key: a place where a vehicle stands all night is spread over its buckets."""
+    The time bucket stays in the key: a place where a vehicle stands all night is spread over its buckets. The join is a
+    merge: the repeated places are many times what Spark expects of them, so a broadcast would outgrow the driver."""
     timed = places.withColumn("__lo", low.cast("double")).withColumn("__hi", high.cast("double"))
     timed = timed.withColumn("__b", F.explode(F.sequence(bucket("__lo", width), bucket("__hi", width))))
     ringed = grid.with_ring(timed, *place_at)
     held = grid.with_cell(fixes, *fix_at).withColumn("__b", bucket(t, width))
-    met = ringed.join(held, [*keys, "__b", "__c"])
+    met = ringed.hint("merge").join(held, [*keys, "__b", "__c"])
     return met.where(F.col(t).between(F.col("__lo"), F.col("__hi"))).drop("__b", "__c", "__lo", "__hi")
 
 

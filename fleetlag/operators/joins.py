@@ -80,7 +80,8 @@ def interval_join(
     """Pairs of equal keys with the right time inside the left row's [low, high].
 
     Left rows are repeated once per time bucket they touch, so the equi join on (key, bucket)
-    spreads a busy key over its buckets. Choose ``width`` near the interval's length.
+    spreads a busy key over its buckets. Choose ``width`` near the interval's length. The join is a
+    merge: Spark's estimate leaves the repeats out, so a broadcast would outgrow the driver.
     """
     l_rows = left.withColumn("__lo", low.cast("double")).withColumn("__hi", high.cast("double"))
     l_rows = l_rows.withColumn(
@@ -90,7 +91,7 @@ def interval_join(
     t = F.col(right_t)
     above = t > F.col("__lo") if low_open else t >= F.col("__lo")
     return (
-        l_rows.join(r_rows, [*keys, "__b"])
+        l_rows.hint("merge").join(r_rows, [*keys, "__b"])
         .where(above & (t <= F.col("__hi")))
         .drop("__b", "__lo", "__hi")
     )

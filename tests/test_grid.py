@@ -69,3 +69,16 @@ def test_nearest_equals_all_pairs(spark):
         want = min((metres(at, b) for w, *b in places if w == v), default=None)
         assert (found[j] is None) == (want is None) and (want is None or abs(found[j] - want) < 1e-6 * max(1.0, want))
         assert (short[j] is not None) == (want is not None and want <= 900.0)
+
+
+def test_repeated_places_are_merged_not_broadcast(spark):
+    p = spark.createDataFrame([(1, 1, 0.0, 55.0, 37.0)], "stop_id long, tr_id long, t_plan double, s_lat double, s_lon double")
+    f = spark.createDataFrame([(7, 1, 10.0, 55.0, 37.0)], "row_id long, tr_id long, t double, lat double, lon double")
+    low, high = F.col("t_plan") - 60, F.col("t_plan") + 60
+    for met in (
+        grid.within(p, f, ["tr_id"], low, high, "t", 120.0, 50.0, EARTH),
+        interval_join(p, f.select("tr_id", "t", "row_id"), ["tr_id"], low, high, "t", 120.0),
+    ):
+        assert [(r.stop_id, r.row_id) for r in met.collect()] == [(1, 7)]
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
