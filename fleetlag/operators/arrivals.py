@@ -128,6 +128,7 @@ def detect_arrivals(prepared: DataFrame, telemetry: DataFrame, segment_s: float
     passes = stop_passes(prepared, telemetry)
     rows = (
         prepared.select("stop_id", "tr_id", "t_plan", (F.col("seq") == 0).alias("departs"))
+        .hint("merge")
         .join(passes, "stop_id")
         .withColumn("seg", bucket("t_plan", segment_s))
     )
@@ -159,9 +160,11 @@ def known_arrivals(points: DataFrame, prepared: DataFrame, telemetry: DataFrame)
     ``points`` has ``sample_id, tr_id, T, T_cut, target_pos``. Points meet the stops of their own
     time segment, so a group holds at most four and a half hours of one vehicle's timetable.
     """
-    nxt = prepared.select("tr_id", (F.col("pos") - 1).alias("pos"), F.col("t_plan").alias("t_next"))
+    # merge joins: a compressed file of the timetable is many times smaller than its rows in a broadcast
+    nxt = prepared.select("tr_id", (F.col("pos") - 1).alias("pos"), F.col("t_plan").alias("t_next")).hint("merge")
     stops = (
         prepared.select("stop_id", "tr_id", "t_plan", "pos", "key", (F.col("seq") == 0).alias("departs"))
+        .hint("merge")
         .join(stop_passes(prepared, telemetry), "stop_id")
         .join(nxt, ["tr_id", "pos"], "left")
         .withColumn(

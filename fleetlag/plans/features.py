@@ -21,7 +21,7 @@ def with_plan_context(points: DataFrame, prepared: DataFrame) -> DataFrame:
     The target comes by an equi join, the last planned stop by an as-of scan.
     """
     row = ["pos", "t_plan", "lat", "lon", "trip", "seq", "trip_len", "cum_m", "lay_cum_s", "key"]
-    target = prepared.select(F.col("stop_id").alias("target_stop_id"), F.struct(*row).alias("tgt"))
+    target = prepared.select(F.col("stop_id").alias("target_stop_id"), F.struct(*row).alias("tgt")).hint("merge")
     joined = points.join(target, "target_stop_id")
     last = asof_many(
         joined, prepared, ["tr_id"], "T", "t_plan", {"last": F.struct(*row)}, tie=["stop_id"], width=PLAN_SEGMENT_S
@@ -287,7 +287,7 @@ def build_features(points: DataFrame, plan: DataFrame, telemetry: DataFrame, hin
         with_plan_context(points, prepared),
         with_last_fixes(points.select("sample_id", "tr_id", "T", "T_cut"), telemetry),
     )
-    base = context.join(fixes.select("sample_id", "fix", "spoke_t", "moved_t"), "sample_id")
+    base = context.hint("merge").join(fixes.select("sample_id", "fix", "spoke_t", "moved_t"), "sample_id")
     slim = context.select("sample_id", "tr_id", "T", *outage)
     known = known_arrivals(
         context.select("sample_id", "tr_id", "T", "T_cut", F.col("tgt.pos").alias("target_pos")),
