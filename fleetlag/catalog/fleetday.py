@@ -39,8 +39,8 @@ def delay_of(tr="tr_id"):
 
 def plan(spark, sf) -> DataFrame:
     ids = vehicles(spark, sf).select("tr_id").distinct()
-    # dealt again, so that joins go by the size of the rows made and not by that of the ids
-    k = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(79)))).repartition("tr_id")
+    # merged in joins: Spark takes the rows made here for as few as the ids and would broadcast them
+    k = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(79)))).hint("merge")
     j = F.expr("CASE WHEN (k div 20) % 2 = 0 THEN k % 20 ELSE 19 - k % 20 END")
     e5 = k.select(
         (F.col("tr_id") * 1000 + F.col("k")).alias("stop_id"),
@@ -177,7 +177,7 @@ def stop_events(spark, sf) -> DataFrame:
 
 def _moments(spark, sf, count: int, step: int) -> DataFrame:
     ids = vehicles(spark, sf).select("tr_id").distinct()
-    return ids.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).repartition("tr_id").select(
+    return ids.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).hint("merge").select(
         "tr_id", "i", (F.lit(DAY) + step * F.col("i")).cast("double").alias("T")
     )
 

@@ -165,7 +165,8 @@ def paired_interval(
 
     Groups collapse to a sum and a count. A sample draws as many groups as there are, by a hash of
     (seed, sample, draw), so a lost executor draws the same again. Draws are generated in blocks
-    spread over the cluster and joined to numbered groups; every sample is a partial aggregate.
+    spread over the cluster and joined to numbered groups; every sample is a partial aggregate. The
+    join is a merge: Spark takes the draws for as few as their blocks and would broadcast them.
     """
     spark = df.sparkSession
     sums = df.groupBy(group).agg(F.sum(difference).alias("s"), F.count(difference).alias("c"))
@@ -189,7 +190,7 @@ def paired_interval(
         .agg(F.count(F.lit(1)).alias("times"))
     )
     means = (
-        draws.join(numbered, "__g")
+        draws.hint("merge").join(numbered, "__g")
         .groupBy("sample")
         .agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("c"))).alias("mean"))
     )

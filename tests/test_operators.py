@@ -224,3 +224,18 @@ def test_feed_counts_late_ticks():
     for t in (10.0, 10.0, 9.0, 11.0):
         DT.feed(state, {**row, "t": t}, S.DETECTOR)
     assert state["late"] == 2 and state["last"] == 11.0
+
+
+def test_draws_and_derived_plans_are_merged_not_broadcast(spark, tmp_path):
+    from fleetlag.catalog import fleetday as D
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    rows = spark.createDataFrame([(g, float(g)) for g in range(30)], "run long, d double")
+    assert "strategy=merge" in joins(ME.paired_interval(rows, "d", "run", samples=20))
+    spark.sql("SELECT 1L event_id, timestamp'2024-01-02' ts, 5L user_id, 'a' event_type, 1D value, '{\"k\": 1}' props").write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    for made in (D.plan(spark, tmp_path), D._moments(spark, tmp_path, 3, 60)):
+        assert "strategy=merge" in joins(made.join(made.select("tr_id").withColumn("x", F.lit(1)), "tr_id"))
