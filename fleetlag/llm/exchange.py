@@ -4,6 +4,8 @@ A document's keys (64-bit fingerprints of shingles, grams ...) are dealt by valu
 packs the keys of its documents for one part into one row, five bytes a key; within a part that leaves one chance in
 10^12 that two keys are mixed up, at any corpus size, as parts grow in number and not in size. The part counts its
 keys and answers with one byte a key, so keys themselves never travel back: the document repeats its key list.
+Answers travel packed too, a row for every part and block of documents, and a block hands them to its documents: the
+rows between parts and documents follow neither the documents times the parts nor the keys.
 """
 
 from collections.abc import Callable
@@ -11,10 +13,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from fleetlag.llm.texts import mixed, part_count
 
 PACKED = "part int, docs binary, hashes binary, counts binary, keys binary"
-FLAGS = "doc_id long, text_hash long, part int, held long, flags binary"
+ANSWERED = "block int, part int, docs binary, hashes binary, counts binary, flags binary"
+FLAGS = "doc_id long, text_hash long, held long, flags array<struct<part: int, flags: binary>>"
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -41,43 +45,76 @@ def packed(doc_ids, hashes, counts, keys, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["part", "docs", "hashes", "counts", "keys"])
 
 
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
 def answers(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``FLAGS`` rows. ``answer(keys, doc_ids, rows)`` gives one byte for each key; all-zero rows are left out."""
+    """``ANSWERED`` rows. ``answer(keys, doc_ids, rows)`` gives one byte for each key; all-zero rows are left out."""
+    blocks = part_count(asked.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        docs, hashes = joined("docs", np.int64), joined("hashes", np.int64)
-        counts = joined("counts", np.uint32).astype(np.int64)
-        low = joined("keys", np.uint8).reshape(-1, 5)
+        docs, hashes = _joined(table, "docs", np.int64), _joined(table, "hashes", np.int64)
+        counts = _joined(table, "counts", np.uint32).astype(np.int64)
+        low = _joined(table, "keys", np.uint8).reshape(-1, 5)
         keys = np.zeros((len(low), 8), np.uint8)
         keys[:, :5] = low
         keys = keys.view(np.uint64).ravel()
         rows = np.repeat(np.arange(len(counts)), counts)
         flags = answer(keys, docs[rows], rows).astype(np.uint8)
-        ends = np.cumsum(counts)
-        starts = ends - counts
+        starts = np.cumsum(counts) - counts
         held = np.add.reduceat((flags > 0).astype(np.int64), starts) if len(starts) else starts
         live = np.flatnonzero(held)
+        block = part_of(mixed(docs[live].view(np.uint64) ^ hashes[live].view(np.uint64)), blocks)
+        order = np.argsort(block, kind="stable")
+        live, cuts = live[order], np.searchsorted(block[order], np.arange(blocks + 1))
+        met = np.flatnonzero(np.diff(cuts)).tolist()
+        many = counts[live]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        told = flags[np.arange(ends[-1]) + np.repeat(starts[live] - ends[:-1], many)]
+        cut = lambda x: pa.array([x[live[cuts[b] : cuts[b + 1]]].tobytes() for b in met], pa.binary())
         part = table["part"][0].as_py()
         return pa.table(
             {
-                "doc_id": pa.array(docs[live]),
-                "text_hash": pa.array(hashes[live]),
-                "part": pa.array(np.full(len(live), part, np.int32)),
-                "held": pa.array(held[live]),
-                "flags": pa.array([flags[starts[i] : ends[i]].tobytes() for i in live], pa.binary()),
+                "block": pa.array(met, pa.int32()),
+                "part": pa.array([part] * len(met), pa.int32()),
+                "docs": cut(docs),
+                "hashes": cut(hashes),
+                "counts": cut(counts.astype(np.uint32)),
+                "flags": pa.array([told[ends[cuts[b]] : ends[cuts[b + 1]]].tobytes() for b in met], pa.binary()),
             }
         )
 
-    return asked.groupBy("part").applyInArrow(run, FLAGS)
+    return asked.groupBy("part").applyInArrow(run, ANSWERED)
+
+
+def by_document(answered: DataFrame) -> DataFrame:
+    """``FLAGS``: the answered parts of each document in one row; ``held`` keys have a flag."""
 
+    def run(table: pa.Table) -> pa.Table:
+        docs, hashes = _joined(table, "docs", np.int64), _joined(table, "hashes", np.int64)
+        counts = _joined(table, "counts", np.uint32).astype(np.int64)
+        flags = _joined(table, "flags", np.uint8)
+        part = np.repeat(table["part"].to_numpy(), [len(d) // 8 for d in table["docs"].to_pylist()]).astype(np.int32)
+        order = np.lexsort((part, hashes, docs))
+        doc, hash_ = docs[order], hashes[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (hash_[1:] != hash_[:-1])
+        first = np.flatnonzero(new)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        held = np.add.reduceat((flags > 0).astype(np.int64), ends[:-1])
+        told = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flags)])
+        parts = pa.StructArray.from_arrays([pa.array(part[order]), told.take(pa.array(order))], ["part", "flags"])
+        return pa.table(
+            {
+                "doc_id": pa.array(doc[first]),
+                "text_hash": pa.array(hash_[first]),
+                "held": pa.array(np.add.reduceat(held[order], first)),
+                "flags": pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), parts),
+            }
+        )
 
-def by_document(flags: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, held, flags``: the answered parts of each document in one row; ``held`` keys have a flag."""
-    return flags.groupBy("doc_id", "text_hash").agg(
-        F.sum("held").alias("held"), F.collect_list(F.struct("part", "flags")).alias("flags")
-    )
+    return answered.groupBy("block").applyInArrow(run, FLAGS)
 
 
 def unpacked(keys: np.ndarray, parts: int, flags: list[dict] | None) -> np.ndarray:

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlag.llm import (
-    op1_neighbours, op2_jaccard, op3_license, op4_bpe, op5_contamination, op6_suffix_array, op7_quality, op8_substrings,
+    exchange, op1_neighbours, op2_jaccard, op3_license, op4_bpe, op5_contamination, op6_suffix_array, op7_quality, op8_substrings,
     op9_suffix_tree, op10_pii,
 )
 from fleetlag.llm.components import components
+from fleetlag.llm.texts import part_count
 
 P = pytest.importorskip("public_tokenizers")
 ROWS = cases.documents()
@@ -53,6 +54,25 @@ def test_jaccard_keeps_a_link_that_leaders_miss(spark):
     same(op2_jaccard.join(cases.frame(spark, rows)), "doc_id n_shingles component_id", brute.jaccard(rows))
 
 
+def test_exchange_answers_do_not_travel_by_document_and_part(spark):
+    parts, keys = part_count(spark), np.random.default_rng(5).integers(0, 2**64, (40, 30), dtype=np.uint64)
+    rows = [(d, d % 3, keys[d % 40]) for d in range(400)]  # every set ten times
+    sets = spark.createDataFrame([(d, h, k.tobytes()) for d, h, k in rows], "doc_id long, text_hash long, keys binary")
+
+    def ask(batches):
+        for b in batches:
+            found = [np.frombuffer(k, np.uint64) for k in b["keys"].to_pylist()]
+            yield exchange.packed(*op2_jaccard.ids_of(b), [len(k) for k in found], np.concatenate(found), parts)
+
+    answered = exchange.answers(sets.mapInArrow(ask, exchange.PACKED), lambda k, d, r: d % 2 * (1 + k % np.uint64(7)).astype(np.int64))
+    assert answered.count() <= parts**2 < 200 * parts
+    found = {(r.doc_id, r.text_hash): (r.held, exchange.unpacked(keys[r.doc_id % 40], parts, r.flags)) for r in exchange.by_document(answered).collect()}
+    assert set(found) == {(d, h) for d, h, _ in rows if d % 2}
+    low = np.uint64(2**40 - 1)
+    for (d, _), (held, flags) in found.items():
+        assert held == 30 and (flags == 1 + (keys[d % 40] & low) % np.uint64(7)).all()
+
+
 def test_license(docs, none):
     names = "doc_id n_words n_base first_word last_word base_labels"
     found = op3_license.scan(docs)
