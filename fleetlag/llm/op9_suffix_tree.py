@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetlag.llm.exchange import part_of
 from fleetlag.llm.texts import BASE, ascii_lower, byte_sums, fold, keyed, mixed, part_count, span, steps, utf8, word_spans
-from fleetlag.session import cut_lineage
+from fleetlag.session import cut_lineage, discard
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 2
@@ -44,7 +44,7 @@ END = np.uint64(1)
 COUNTS = "part int, keys binary, counts binary"
 SEQUENCES = "part int, contexts binary, suffixes binary, counts binary"
 SEQUENCE_COLUMNS = ["part", "contexts", "suffixes", "counts"]
-BLOCK = 1 << 21  # sequences that are counted together
+BLOCK = 1 << 20  # sequences that are counted together
 SIEVE = 28
 LOW = np.uint64(2**40 - 1)
 ASKED = np.uint64(2**48 - 1)  # six bytes of a fingerprint go to its part
@@ -103,10 +103,9 @@ def _arrays(table, key_kind=np.uint64):
 
 
 def _valued(table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]])
-    values = np.concatenate([np.zeros(0), *[np.frombuffer(x) for x in table["counts"].to_pylist()]])
-    order = np.argsort(keys)
-    return keys[order], values[order]
+    """Of a part that ``dealt`` packed: what is asked of the keys, ascending, and their values."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *[_wide(x) for x in table["keys"].to_pylist()]])
+    return keys, np.concatenate([np.zeros(0), *[np.frombuffer(x) for x in table["counts"].to_pylist()]])
 
 
 def summed(counts: DataFrame) -> DataFrame:
@@ -163,10 +162,34 @@ class Tree:
     table: DataFrame | None  # ``COUNTS`` with the values of all other sequences that have one
     sieve: np.ndarray  # of the table
 
+    def __post_init__(self):
+        self.word_index, self.key_index = _index(self.words), _index(self.keys)
+        self.logs, self.root = np.log10(self.counts + 1), np.log10((self.counts + 1) / (self.total + self.distinct + 1))
+
+
+def _index(codes: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """Where the codes with each value of their leading bits begin; fingerprints share them with few others."""
+    bits = min(24, len(codes).bit_length())
+    edges = np.searchsorted(codes, np.arange(2**bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1)
+    return np.uint64(64 - bits), np.append(edges, len(codes)).astype(np.int32)
+
 
-def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _find(codes: np.ndarray, wanted: np.ndarray, index: tuple[np.uint64, np.ndarray] | None = None) -> np.ndarray:
+    """Place of each wanted code, else -1; with an ``index`` of the codes only a few are compared."""
     if not len(codes):
         return np.full(len(wanted), -1, np.int64)
+    if index is not None:
+        shift, edges = index
+        lead = (wanted >> shift).astype(np.int64)
+        at, end = edges[lead], edges[lead + 1]
+        out, left = np.full(len(wanted), -1, np.int64), np.flatnonzero(at < end)
+        at, end, code = at[left], end[left], wanted[left]
+        while len(left):
+            same = codes[at] == code
+            out[left[same]] = at[same]
+            on = ~same & (at + 1 < end)
+            left, at, end, code = left[on], at[on] + 1, end[on], code[on]
+        return out
     at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
     return np.where(codes[at] == wanted, at, -1)
 
@@ -291,23 +314,26 @@ def vocabulary_rows(vocabulary: DataFrame, total: int, distinct: int) -> DataFra
     return vocabulary.select("keys", "counts").mapInArrow(run, "key long, c long, gain double")
 
 
-def smoothed(rows: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+def smoothed(rows: DataFrame, lower: DataFrame, spent: list[str], kept: list[str]) -> tuple[DataFrame, DataFrame]:
     """Divergence tests and probabilities of the sequences of one length; ``lower`` has the next shorter ones.
 
     Gives ``key, c, gain, delta`` of the sequences: gain is the log10 probability of the last word after the words
     before it, delta what it has beyond the shorter context's; and ``ctx, held, spare`` of the contexts that are kept:
-    spare is the log10 of what a context leaves to the shorter one."""
+    spare is the log10 of what a context leaves to the shorter one. The tables in ``spent``, which nothing else reads,
+    go once the sequences are written; then it lists those, and ``kept`` lists the contexts."""
     sums = rows.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("sc"))
     sums = sums.join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("held")), "ctx")
     rest = F.least(F.greatest(1 - (F.col("sc") - DISCOUNT * F.col("n")) / F.col("held"), F.lit(1e-12)), F.lit(1.0))
     sums = sums.select("ctx", "held", "sc", rest.alias("rest"))
     met = rows.join(lower.select(F.col("key").alias("suf"), F.col("gain").alias("shorter")), "suf").join(sums, "ctx")
     chance = (F.col("c") - DISCOUNT) / F.col("held") + F.col("rest") * F.pow(F.lit(10.0), "shorter")
-    met = cut_lineage(met.select("key", "ctx", "c", "shorter", "held", "sc", "rest", F.log10(chance).alias("chance")))
+    met = cut_lineage(met.select("key", "ctx", "c", "shorter", "held", "sc", "rest", F.log10(chance).alias("chance")), written := [])
+    discard(rows.sparkSession, spent)
+    spent += written
     seen = F.sum(F.col("c") * (F.col("chance") - F.col("shorter"))) * float(np.log(10))
     tested = met.groupBy("ctx").agg(seen.alias("seen"), *[F.max(x).alias(x) for x in ("held", "sc", "rest")])
     tested = tested.where(F.col("seen") + (F.col("held") - F.col("sc")) * F.log("rest") >= TEST)
-    contexts = cut_lineage(tested.select("ctx", "held", F.log10("rest").alias("spare")))
+    contexts = cut_lineage(tested.select("ctx", "held", F.log10("rest").alias("spare")), kept)
     gain = F.when(F.col("spare").isNull(), F.col("shorter")).otherwise(F.col("chance"))
     out = met.join(contexts.select("ctx", "spare"), "ctx", "left").select("key", "c", gain.alias("gain"), "shorter", "spare")
     delta = F.when(F.col("spare").isNull(), F.lit(0.0)).otherwise(F.col("gain") - F.col("shorter") - F.col("spare"))
@@ -333,16 +359,19 @@ def grow(train: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, share: flo
     total, distinct = totals(vocabulary)
     least = max(2.0, (SHARE if share is None else share) * total)
     words, counts = frequent(vocabulary, least)
-    parts, sieves = part_count(train.sparkSession), []
-    lower = cut_lineage(vocabulary_rows(vocabulary, total, distinct))
+    spark = train.sparkSession
+    parts, sieves = part_count(spark), []
+    spent, kept = [], []  # tables that the next step, and that the whole tree reads last
+    lower = cut_lineage(vocabulary_rows(vocabulary, total, distinct), spent)
     levels = []  # sequences that have a value of their own, without what they leave as contexts
     context, values = [], None
     for d in range(depth):
-        counted = cut_lineage(sequence_counts(train, sieves))
+        counted = cut_lineage(sequence_counts(train, sieves), spent)
         sieves = [*sieves, sieve_of(counted, _sequence_keys, parts)] if d < depth - 1 else []
-        rows, contexts = smoothed(sequence_rows(counted), lower)
+        rows, contexts = smoothed(sequence_rows(counted), lower, spent, kept)
         if d < depth - 1:
-            rows = cut_lineage(rows)
+            rows = cut_lineage(rows, kept)
+            discard(spark, spent)
         held = contexts.select(F.col("ctx").alias("key"), F.col("held").alias("c"), F.col("spare"))
         context.append(gathered(held.where(F.col("c") >= least).withColumn("value", F.col("spare")))[0])
         if d:
@@ -356,32 +385,26 @@ def grow(train: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, share: flo
     table = levels[0]
     for more in levels[1:]:
         table = table.unionByName(more)
-    table = cut_lineage(table.where((F.col("value") != 0) | (F.col("c") >= least)))
+    table = cut_lineage(table.where((F.col("value") != 0) | (F.col("c") >= least)), last := [])
+    discard(spark, spent + kept)
     keys, known = gathered(table.where(F.col("c") >= least))
     rest = cut_lineage(dealt(table.where(F.col("c") < least).select("key", "value"), parts))
-    sieve = sieve_of(rest, lambda row: np.frombuffer(row["keys"], np.uint64), parts)
+    discard(spark, last)
+    sieve = sieve_of(rest, lambda row: _wide(row["keys"]), parts)
     return Tree(words, counts, total, distinct, keys, known, context, rest, sieve)
 
 
 def dealt(table: DataFrame, parts: int) -> DataFrame:
-    """``key, value`` rows packed by part, one row a part."""
-
-    def run(batches):
-        for b in batches:
-            keys = b["key"].to_numpy(zero_copy_only=False).view(np.uint64)
-            values = b["value"].to_numpy(zero_copy_only=False)
-            part = part_of(keys, parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            live = np.flatnonzero(np.diff(cuts)).tolist()
-            cut = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in live], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), cut(keys), cut(values)], ["part", "keys", "counts"])
+    """``key, value`` rows packed by part, one row a part, by the six bytes of a key that are asked."""
 
     def together(rows: pa.Table) -> pa.Table:
-        keys, values = _valued(rows)
-        return pa.table([pa.array([rows["part"][0].as_py()], pa.int32()), pa.array([keys.tobytes()]), pa.array([values.tobytes()])], ["part", "keys", "counts"])
+        keys, values = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+        keys, values = _low(keys, values)
+        low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6]
+        return pa.table([pa.array([rows["part"][0].as_py()], pa.int32()), pa.array([low.tobytes()]), pa.array([values.tobytes()])], ["part", "keys", "counts"])
 
-    return table.mapInArrow(run, COUNTS).groupBy("part").applyInArrow(together, COUNTS)
+    part = (F.shiftrightunsigned("key", 40) % parts).cast("int").alias("part")  # as part_of
+    return table.select(part, "key", "value").groupBy("part").applyInArrow(together, COUNTS)
 
 
 def _wide(low: bytes) -> np.ndarray:
@@ -398,30 +421,31 @@ def _low(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def local_scores(tree: Tree, keys, row) -> tuple[np.ndarray, np.ndarray]:
     """What the frequent part gives of each token's log10 probability, and whether the word is outside it."""
-    return _local(tree, keys, row)[:2]
+    score, number, *_ = _local(tree, keys, row)
+    return score, number < 0
 
 
 def _local(tree: Tree, keys, row):
-    """``local_scores``, and the fingerprints and rows of the sequences outside the frequent part."""
-    number = _find(tree.words, keys)
+    """Scores as ``local_scores``, each word's place in the frequent part or -1, and the fingerprints and rows of the
+    sequences outside it."""
+    number = _find(tree.words, keys, tree.word_index)
     outside = number < 0
     score = np.zeros(len(keys))
-    root = np.log10((tree.counts + 1) / (tree.total + tree.distinct + 1))
-    score[~outside] = root[number[~outside]]
+    score[~outside] = tree.root[number[~outside]]
     as_context = np.zeros(len(keys))
-    found = _find(tree.keys, keys)
+    found = _find(tree.keys, keys, tree.key_index)
     as_context[(found >= 0) & ~outside] = tree.values[found[(found >= 0) & ~outside]]
     # a word's value belongs to the token behind it
     score[1:] += np.where(row[1:] == row[:-1], as_context[:-1], 0.0)
     asked, asked_row = [], []
     for last, key, _, _ in sequences(keys, row, [None] * DEPTH):
-        found = _find(tree.keys, key)
+        found = _find(tree.keys, key, tree.key_index)
         score[last[found >= 0]] += tree.values[found[found >= 0]]
         ask = np.flatnonzero(found < 0)
         ask = ask[passed(tree.sieve, key[ask])]
         asked.append(key[ask])
         asked_row.append(row[last[ask]])
-    return score, outside, np.concatenate(asked), np.concatenate(asked_row)
+    return score, number, np.concatenate(asked), np.concatenate(asked_row)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -450,9 +474,10 @@ def scores(docs: DataFrame) -> DataFrame:
             out = []
             for first, last, keys, row in token_keys(b["text"]):
                 n = last - first
-                score, outside, longer, longer_row = _local(known, keys, row)
+                score, number, longer, longer_row = _local(known, keys, row)
+                outside = number < 0
                 log = np.zeros(len(keys))
-                log[~outside] = np.log10(known.counts[_find(known.words, keys[~outside])] + 1)
+                log[~outside] = known.logs[number[~outside]]
                 total = lambda x: np.bincount(row, weights=x, minlength=n)
                 tokens = np.bincount(row, minlength=n)
                 facts = np.stack([tokens, total(~outside), total(log), total(score), total(outside)], axis=1)
@@ -471,8 +496,8 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         keys, counts = merged(*_arrays(held.filter(pc.invert(held["tree"]))))
+        keys, counts = _low(keys, counts)
         sequence, value = _valued(held.filter(held["tree"]))
-        (keys, counts), (sequence, value) = _low(keys, counts), _low(sequence, value)
         out = []
         for name, kind, rows_, values in zip(*[asked[c].to_pylist() for c in ("name", "kind", "rows", "value")]):
             if kind:
@@ -485,7 +510,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 if not live.any():
                     continue
                 docs_, at = np.unique(row[live], return_inverse=True)
-                facts = (found[live] >= 0, log[live], more[live])
+                facts = (more[live], log[live], found[live] >= 0)[: 3 if kind == 1 else 1]
                 got = np.stack([np.bincount(at, weights=x) for x in facts], axis=1)
                 rows_, values = docs_.astype(np.uint32).tobytes(), got.tobytes()
             out.append((0, name, kind, rows_, values))
@@ -500,10 +525,14 @@ def scores(docs: DataFrame) -> DataFrame:
         tokens, known, log, score, outside = facts.T.copy()
         for kind, r, v in zip(kinds, rows_, values):
             if kind:
-                at, got = np.frombuffer(r, np.uint32), np.frombuffer(v).reshape(-1, 3)
-                known[at] += got[:, 0]
-                log[at] += got[:, 1]
-                score[at] += got[:, 1] + got[:, 2]
+                at, got = np.frombuffer(r, np.uint32), np.frombuffer(v)
+                if kind == 2:  # sequences
+                    score[at] += got
+                    continue
+                more, found, seen = got.reshape(-1, 3).T
+                known[at] += seen
+                log[at] += found
+                score[at] += found + more
         return pa.table(
             {
                 "doc_id": pa.array(ids), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),

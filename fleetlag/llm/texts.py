@@ -22,7 +22,11 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Session settings of the operators: small Arrow batches, and shuffle files that go when their job has ended.
+
+    Else shuffle files stay until the driver collects its garbage, and those of all steps lie on disk together."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:

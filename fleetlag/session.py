@@ -55,17 +55,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
-    The copy survives the loss of an executor, unlike a cached or locally checkpointed frame.
+    The copy survives the loss of an executor, unlike a cached or locally checkpointed frame. Its path is added to
+    ``made``, for :func:`discard` once nothing reads it any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Remove the tables that :func:`cut_lineage` listed in ``made``, and empty the list."""
+    sc = spark.sparkContext
+    while made:
+        path = sc._jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_all(*frames: DataFrame) -> list[DataFrame]:
     """:func:`cut_lineage` for independent frames, their jobs running side by side."""
     with ThreadPoolExecutor(len(frames)) as pool:

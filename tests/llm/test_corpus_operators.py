@@ -1,6 +1,7 @@
 """Every operator against its plain version, over a fixture of hard cases, and over empty tables."""
 
 import math
+import os
 
 import brute
 import cases
@@ -14,6 +15,7 @@ from fleetlag.llm import (
 )
 from fleetlag.llm.components import components
 from fleetlag.llm.texts import part_count
+from fleetlag.session import cut_lineage, shared_dir
 
 P = pytest.importorskip("public_tokenizers")
 ROWS = cases.documents()
@@ -219,6 +221,16 @@ def test_language_model_scores_do_not_depend_on_the_frequent_part(docs, monkeypa
     assert all(abs(found[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_language_model_keeps_only_the_tables_that_are_read(spark, docs):
+    train = docs.where("doc_id IS NOT NULL")
+    counts = lambda batches: (op9_suffix_tree.count_batch(*zip(*[np.unique(k, return_counts=True) for *_, k, _ in op9_suffix_tree.token_keys(b["text"])]), 8) for b in batches if b.num_rows)
+    table = cut_lineage(op9_suffix_tree.summed(train.select("text").mapInArrow(counts, op9_suffix_tree.COUNTS)))
+    before = set(os.listdir(shared_dir(spark)))
+    tree = op9_suffix_tree.grow(train, table)
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert {os.path.basename(os.path.dirname(f)) for f in tree.table.inputFiles()} == left
+
+
 def test_language_model_keeps_a_sequence_when_unrelated_text_is_added(spark):
     import zlib
 
