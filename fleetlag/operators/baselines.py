@@ -88,11 +88,11 @@ def predict_line(df: DataFrame, lines: DataFrame, keys: list[str], name: str) ->
     return joined.withColumn(name, value).drop("a", "b")
 
 
-def fit_two_lines(df: DataFrame) -> DataFrame:
-    """One line for targets behind a layover, one for the rest. Outage copies are left out: their
+def fit_two_lines(df: DataFrame, groups: list[str] = ()) -> DataFrame:
+    """One line for targets behind a layover, one for the rest, in each of ``groups``. Outage copies are left out: their
     hint is minutes off and would flatten the lines."""
     rows = df.where(F.col("hint") != "outage") if "hint" in df.columns else df
-    return fit_l1_lines(rows, ["layover"], "cur_dev_s", "target")
+    return fit_l1_lines(rows, [*groups, "layover"], "cur_dev_s", "target")
 
 
 def row_weights(synthetic_weight: float = 1.0, outage_weight: float = 1.0):

@@ -7,7 +7,8 @@ Under absolute loss a leaf is the weighted median of its residuals (exact for re
 one of two), found in two passes over the halves of the residual's bits; under logistic loss it is a Newton step.
 
 The models of all folds and the one of all rows grow in the same passes, so cross-validation costs the jobs of one
-fit. Gradients are whole multiples of ``1 / SCALE``: sums do not depend on partitions or on repeated tasks. Margins are
+fit. Of two children only the left one is counted, the right one is the rest of its parent. Sums of a few tasks are
+added up by the driver, those of more meet in a shuffle. Gradients are whole multiples of ``1 / SCALE``: sums do not depend on partitions or on repeated tasks. Margins are
 written every ``flush`` trees; in between a task applies the few newest trees itself, so nothing is cached.
 
 Rows without a label, or with a weight of NULL or zero, train nothing. NaN counts as NULL. An empty table gives models
@@ -15,6 +16,8 @@ of no trees. Equal gains go to the first feature, then the lowest cut, then NULL
 """
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +31,7 @@ SCALE = 1 << 20  # parts of a unit of gradient or weight
 NULL_BIN = 255
 LOSSES = ("absolute", "logistic")
 TASK_ROWS = 250_000  # rows of a task; histograms are small against them
+FEW_TASKS = 4  # up to so many tasks hand their sums to the driver without a shuffle
 
 
 @dataclass(frozen=True)
@@ -243,25 +247,37 @@ def _loss(rows: _Rows, loss: str) -> tuple[int, int]:
 class _Fit:
     """The table of bins and margins, and the passes over it."""
 
-    def __init__(self, state: DataFrame, edges: list, models: int, config: BoostConfig):
-        self.state, self.edges, self.models, self.config = state, edges, models, config
+    def __init__(self, state: DataFrame, edges: list, models: int, config: BoostConfig, tasks: int):
+        self.state, self.edges, self.models, self.config, self.tasks = state, edges, models, config, tasks
         self.recent = [[] for _ in range(models)]
 
-    def _sums(self, per_task) -> DataFrame:
-        """``key, a, b`` with the sums of what ``per_task(batches of rows)`` gives as arrays."""
+    def _sums(self, per_task) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``key, a, b`` in the order of keys, with the sums of what ``per_task(batches of rows)`` gives as arrays."""
         width, models, recent, step = len(self.edges), self.models, self.recent, self.config.step
 
         def run(batches):
             key, a, b = per_task(_rows_of(x, width, models, recent, step) for x in batches)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (key, a, b)], names=["key", "a", "b"])
 
-        sums = self.state.mapInArrow(run, "key bigint, a bigint, b bigint")
-        return sums.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-    def histograms(self, splits: list[list], with_loss: bool):
-        """Gradient and curvature by (model, node, feature, bin), bounded by depth, features and bins; held-out loss."""
+        few = self.tasks <= FEW_TASKS
+        state = self.state.coalesce(self.tasks) if few else self.state
+        sums = state.mapInArrow(run, "key bigint, a bigint, b bigint")
+        if not few:
+            sums = sums.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        got = sums.toArrow()
+        key, place = np.unique(got.column("key").to_numpy(), return_inverse=True)
+        totals = np.zeros((2, len(key)), dtype=np.int64)
+        for total, name in zip(totals, ("a", "b")):
+            np.add.at(total, place, got.column(name).to_numpy())
+        return key, totals[0], totals[1]
+
+    def histograms(self, splits: list[list], with_loss: bool, parents: tuple | None = None):
+        """Gradient and curvature by (model, node, feature, bin), bounded by depth, features and bins; held-out loss.
+
+        Given those of their ``parents``, only left children are counted.
+        """
         models, width, loss = self.models, len(self.edges), self.config.loss
-        nodes = 2 ** len(splits[0])
+        nodes, halved = 2 ** len(splits[0]) // (1 if parents is None else 2), parents is not None
         shape = (models, nodes, width, NULL_BIN + 1)
 
         def per_task(parts):
@@ -274,7 +290,11 @@ class _Fit:
                     at = rows.taught(m)
                     slope, bend = (v[at] for v in _slopes(rows, m, loss))
                     bins = rows.bins[at]
-                    node = leaves(splits[m], bins) * (NULL_BIN + 1)
+                    node = leaves(splits[m], bins)
+                    if halved:
+                        left = node % 2 == 0
+                        bins, slope, bend, node = bins[left], slope[left], bend[left], node[left] // 2
+                    node = node * (NULL_BIN + 1)
                     for f in range(width):
                         code, size = node + bins[:, f], nodes * (NULL_BIN + 1)
                         g[m, :, f] += np.bincount(code, slope, size).astype(np.int64).reshape(nodes, -1)
@@ -283,14 +303,16 @@ class _Fit:
             key = np.flatnonzero((g != 0) | (h != 0))
             return np.append(key, -1), np.append(g[key], lost[0]), np.append(h[key], lost[1])
 
-        got = self._sums(per_task).toArrow()
-        key, a, b = (got.column(c).to_numpy() for c in ("key", "a", "b"))
+        key, a, b = self._sums(per_task)
         g, h, lost = np.zeros(np.prod(shape)), np.zeros(np.prod(shape)), (0, 0)
         for i in np.flatnonzero(key < 0):
             lost = int(a[i]), int(b[i])
         at = key >= 0
         g[key[at]], h[key[at]] = a[at] / SCALE, b[at] / SCALE
-        return g.reshape(shape), h.reshape(shape), lost[0] / SCALE / lost[1] if lost[1] else float("nan")
+        g, h = g.reshape(shape), h.reshape(shape)
+        if halved:
+            g, h = (np.stack([v, all_ - v], axis=2).reshape(models, 2 * nodes, width, -1) for v, all_ in zip((g, h), parents))
+        return g, h, lost[0] / SCALE / lost[1] if lost[1] else float("nan")
 
     def medians(self, splits: list[list]) -> np.ndarray:
         """Weighted median of the residuals in each (model, leaf); zero where there is none.
@@ -323,9 +345,8 @@ class _Fit:
                 np.add.at(total, place, np.concatenate(weights))
                 return part, total, np.zeros(len(part), dtype=np.int64)
 
-            got = self._sums(per_task).toArrow().sort_by("key")
-            key = got.column("key").to_numpy()
-            return key >> 16, key & 0xFFFF, got.column("a").to_numpy()
+            key, total, _ = self._sums(per_task)
+            return key >> 16, key & 0xFFFF, total
 
         def passing(node, half, weight, before=None):
             """Per node the first half at which the running weight reaches half of all, and the weight below it."""
@@ -346,14 +367,14 @@ class _Fit:
 
     def grow(self) -> tuple[list[Tree], float]:
         """The next tree of every model, and the held-out error before it."""
-        c, splits = self.config, [[] for _ in range(self.models)]
+        c, splits, parents = self.config, [[] for _ in range(self.models)], None
         for level in range(c.depth):
-            g, h, lost = self.histograms(splits, level == 0)
+            g, h, lost = self.histograms(splits, level == 0, parents)
             if level == 0:
                 error = lost
-            parents = list(zip(g, h))
+            parents = g, h
             splits = [[*s, best_split(g[m], h[m], self.edges, c.l2)] for m, s in enumerate(splits)]
-        ends = [_children(*parents[m], splits[m][-1]) for m in range(self.models)]
+        ends = [_children(g[m], h[m], splits[m][-1]) for m in range(self.models)]
         if c.loss == "absolute":
             values = self.medians(splits)
         else:
@@ -420,62 +441,86 @@ def best_split(g: np.ndarray, h: np.ndarray, edges: list, l2: float) -> tuple[in
 # --- fitting ---------------------------------------------------------------------------------
 
 
+class Growth:
+    """Models that grow tree by tree; the arguments are those of :func:`fit`."""
+
+    def __init__(
+        self, table: DataFrame, features: list[str], label: str, config: BoostConfig, weight: Column | None = None,
+        fold: Column | None = None, folds: int = 0, held: Column | None = None, offsets: list[Column] | None = None,
+        edges: list[np.ndarray] | None = None,
+    ):
+        models = folds + 1
+        y = F.col(label).cast("double")
+        w = F.coalesce(F.lit(1.0) if weight is None else weight.cast("double"), F.lit(0.0))
+        rows = table.where(y.isNotNull() & ~F.isnan(y)).select(
+            *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+            y.alias("y"), F.round(w * SCALE).alias("w"),
+            (F.lit(-1) if fold is None else fold.cast("int")).alias("fold"),
+            (F.lit(False) if not folds else F.lit(True) if held is None else F.coalesce(held, F.lit(False))).alias("held"),
+            F.array(*[o.cast("double") for o in offsets or [F.lit(0.0)] * models]).alias("margins"),
+        )
+        rows = cut_lineage(rows)
+        names = [f"x{i}" for i in range(len(features))]
+        edges = bin_edges(rows, names, config.bins) if edges is None else [np.asarray(e, dtype=float) for e in edges]
+
+        def pack(batches):
+            for batch in batches:
+                matrix = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
+                codes = binned(matrix, edges)
+                arrays = [pa.array([r.tobytes() for r in codes], pa.binary()), *[batch.column(c) for c in ("y", "w", "fold", "held", "margins")]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bins", "y", "w", "fold", "held", "margins"])
+
+        parts = max(1, -(-rows.count() // TASK_ROWS))
+        state = rows.coalesce(parts).mapInArrow(pack, "bins binary, y double, w double, fold int, held boolean, margins array<double>")
+        self.work = work = _Fit(cut_lineage(state), edges, models, config, parts)
+        starts = _starts(work, config, offsets is not None)
+        self.models = [BoostedTrees(list(features), edges, config.step, float(s)) for s in starts]
+        if any(starts):
+            shift = F.array(*[F.lit(float(s)) for s in starts])
+            work.state = cut_lineage(work.state.withColumn("margins", F.zip_with("margins", shift, lambda a, b: a + b)))
+        self.usable = any(len(e) for e in edges)
+
+    def keep(self, trees: list[Tree]) -> None:
+        for m, t in zip(self.models, trees):
+            m.trees.append(t)
+        self.work.keep(trees)
+
+    def more(self) -> None:
+        """One tree more of every model, up to the number of the configuration."""
+        if self.usable and len(self.models[-1].trees) < self.work.config.trees:
+            self.keep(self.work.grow()[0])
+
+
 def fit(
     table: DataFrame, features: list[str], label: str, config: BoostConfig, weight: Column | None = None,
     fold: Column | None = None, folds: int = 0, held: Column | None = None, offsets: list[Column] | None = None,
-    edges: list[np.ndarray] | None = None,
+    edges: list[np.ndarray] | None = None, alongside: Callable[[], None] | None = None,
 ) -> Boosting:
     """Trees of ``folds`` models, each without the rows of its fold, and of one with all rows.
 
     ``offsets`` are what each of them starts from in a row (the trees come on top), ``held`` marks the rows on which the
-    held-out error is measured. It ends a fit with folds after ``patience`` trees without a lower one.
+    held-out error is measured. It ends a fit with folds after ``patience`` trees without a lower one. ``alongside`` is
+    called while a tree grows, once for each, so that another model keeps step with this fit.
     """
-    models = folds + 1
-    y = F.col(label).cast("double")
-    w = F.coalesce(F.lit(1.0) if weight is None else weight.cast("double"), F.lit(0.0))
-    rows = table.where(y.isNotNull() & ~F.isnan(y)).select(
-        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
-        y.alias("y"), F.round(w * SCALE).alias("w"),
-        (F.lit(-1) if fold is None else fold.cast("int")).alias("fold"),
-        (F.lit(False) if not folds else F.lit(True) if held is None else F.coalesce(held, F.lit(False))).alias("held"),
-        F.array(*[o.cast("double") for o in offsets or [F.lit(0.0)] * models]).alias("margins"),
-    )
-    rows = cut_lineage(rows)
-    names = [f"x{i}" for i in range(len(features))]
-    edges = bin_edges(rows, names, config.bins) if edges is None else [np.asarray(e, dtype=float) for e in edges]
-
-    def pack(batches):
-        for batch in batches:
-            matrix = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
-            codes = binned(matrix, edges)
-            arrays = [pa.array([r.tobytes() for r in codes], pa.binary()), *[batch.column(c) for c in ("y", "w", "fold", "held", "margins")]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["bins", "y", "w", "fold", "held", "margins"])
-
-    parts = max(1, -(-rows.count() // TASK_ROWS))
-    state = rows.coalesce(parts).mapInArrow(pack, "bins binary, y double, w double, fold int, held boolean, margins array<double>")
-    work = _Fit(cut_lineage(state), edges, models, config)
-    starts = _starts(work, config, offsets is not None)
-    out = [BoostedTrees(list(features), edges, config.step, float(s)) for s in starts]
-    if any(starts):
-        shift = F.array(*[F.lit(float(s)) for s in starts])
-        work.state = cut_lineage(work.state.withColumn("margins", F.zip_with("margins", shift, lambda a, b: a + b)))
-    curve, best = [], 0
-    usable = any(len(e) for e in edges)
-    for n in range(config.trees + 1 if usable else 0):
-        if n == config.trees:
-            if folds:
-                curve.append(work.histograms([[] for _ in range(models)], True)[2])
-            break
-        trees, error = work.grow()
-        if folds:
-            curve.append(error)
-            best = n if n == 0 or error < curve[best] else best
-            if n - best >= config.patience:
+    growth = Growth(table, features, label, config, weight, fold, folds, held, offsets, edges)
+    work, curve, best = growth.work, [], 0
+    with ThreadPoolExecutor(1) as pool:
+        for n in range(config.trees + 1 if growth.usable else 0):
+            if n == config.trees:
+                if folds:
+                    curve.append(work.histograms([[] for _ in range(folds + 1)], True)[2])
                 break
-        for m, t in enumerate(trees):
-            out[m].trees.append(t)
-        work.keep(trees)
-    return Boosting(out, curve)
+            other = pool.submit(alongside) if alongside else None
+            trees, error = work.grow()
+            if other:
+                other.result()
+            if folds:
+                curve.append(error)
+                best = n if n == 0 or error < curve[best] else best
+                if n - best >= config.patience:
+                    break
+            growth.keep(trees)
+    return Boosting(growth.models, curve)
 
 
 def _starts(work: _Fit, config: BoostConfig, offset: bool) -> np.ndarray:

@@ -151,3 +151,34 @@ def test_bits_keep_the_order():
     code = BO.ordered_bits(v)
     assert (np.diff(code) >= 0).all() and code[3] == code[4]
     assert [BO.from_ordered_bits(int(c)) for c in code] == [float(np.float32(x)) for x in v]
+
+
+def test_right_children_are_the_rest_of_their_parent(table, monkeypatch):
+    config = BO.BoostConfig(trees=1, depth=3, bins=8)
+    counted, sums = [], BO._Fit._sums
+
+    def watched(self, per_task):
+        got = sums(self, per_task)
+        counted.append(len(got[0]))
+        return got
+
+    monkeypatch.setattr(BO._Fit, "_sums", watched)
+    work = BO.Growth(table, NAMES, "y", config, weight=F.col("w"), fold=F.col("fold"), folds=2).work
+    splits = [[], [], []]
+    above = work.histograms(splits, False)
+    for level in range(2):
+        splits = [[*s, (1, 3 + level, True)] for s in splits]
+        full = work.histograms(splits, False)
+        halved = work.histograms(splits, False, above[:2])
+        assert counted[-1] < counted[-2]
+        assert all(np.array_equal(a, b) for a, b in zip(full[:2], halved[:2]))
+        above = full
+
+
+def test_another_model_keeps_step(table):
+    config = BO.BoostConfig(trees=12, depth=2, step=0.8, bins=16, patience=2)
+    other = BO.Growth(table.where("fold < 2"), NAMES, "y", config)
+    got = BO.fit(table, NAMES, "y", config, fold=F.col("fold"), folds=3, alongside=other.more)
+    assert got.best <= len(other.models[-1].trees) <= len(got.curve)
+    alone = BO.fit(table.where("fold < 2"), NAMES, "y", BO.BoostConfig(trees=got.best, depth=2, step=0.8, bins=16))
+    assert other.models[-1].prefix(got.best).to_json() == alone.models[-1].to_json()
