@@ -170,7 +170,7 @@ _START, _END, _CUR = 1767680000, 1767688000, (1767682000, 5000)
 @query("S20", f"SELECT row_id, t FROM f_raw WHERE t BETWEEN {_START} AND {_END} AND (t > {_CUR[0]} OR (t = {_CUR[0]} AND row_id > {_CUR[1]}))", _RAW)
 def resumed_range(spark, sf):
     raw = files_.raw_telemetry(D.telemetry_raw(spark, sf))
-    return files_.ordered_range(raw, _START, _END, _CUR).select("row_id", "t")
+    return files_.ordered_range(raw.select("row_id", "t"), _START, _END, _CUR)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fleetlag.functions import scalars as X
 from fleetlag.operators.clean import clean_telemetry
+from fleetlag.session import cut_lineage
 
 # Columns of the input files, in file order.
 TRAFFIC_COLUMNS = [
@@ -227,13 +228,17 @@ def terminal_vehicles(rows: DataFrame) -> DataFrame:
 
 
 def ordered_range(rows: DataFrame, start: float, end: float, after: tuple[float, int] | None = None) -> DataFrame:
-    """Rows with ``start <= t <= end`` strictly after the cursor ``(t, row_id)``, in order."""
+    """Rows with ``start <= t <= end`` strictly after the cursor ``(t, row_id)``, in order.
+
+    The kept rows are written once: a global sort reads its input twice, for its bounds and for its rows, and would read
+    and parse the whole input again.
+    """
     keep = F.col("t").between(float(start), float(end))
     if after is not None:
         keep &= F.struct(F.col("t"), F.col("row_id")) > F.struct(
             F.lit(float(after[0])).alias("t"), F.lit(after[1]).cast("bigint").alias("row_id")
         )
-    return rows.where(keep).orderBy("t", "row_id")
+    return cut_lineage(rows.where(keep)).orderBy("t", "row_id")
 
 
 def range_counts(rows: DataFrame, start: float, end: float, after: tuple[float, int]) -> DataFrame:

@@ -182,3 +182,18 @@ def test_packet_decoding(spark):
 def test_view_sql_order():
     sql = D.with_views("SELECT * FROM f_points")
     assert sql.index("f_plan0 AS") < sql.index("f_plan AS") < sql.index("f_points AS")
+
+
+def test_an_ordered_range_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 300, 1, 3).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("t"))
+    got = FL.ordered_range(rows.mapInArrow(count, rows.schema), 2, 5, (3, 150)).collect()
+    want = sorted((i % 7, i) for i in range(300) if 2 <= i % 7 <= 5 and (i % 7, i) > (3, 150))
+    assert [(r.t, r.row_id) for r in got] == want
+    assert seen.value == 300
