@@ -102,7 +102,7 @@ def _adding_up(spark, sf, exact):
     model = MO.fit_models(table, CONFIG, CONFIG.iterations, None)
     parts = MO.contributions(model, table, exact)
     total = sum((F.col(r) for r in S.REASONS), F.col("expected_s"))
-    both = parts.join(model.predict(table).select("sample_id", "delay_s"), "sample_id")
+    both = parts.hint("merge").join(model.predict(table).select("sample_id", "delay_s"), "sample_id")
     return both.withColumn("adds_up", F.abs(total - F.col("delay_s")) < 1e-6)
 
 

@@ -118,7 +118,7 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 0) -> Dat
     )
     lap, place = F.expr(f"__rank div {folds}"), F.col("__rank") % folds
     fold = F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int")
-    return df.join(ranked.select(group, fold.alias("fold")), group)
+    return df.hint("merge").join(ranked.select(group, fold.alias("fold")), group)
 
 
 def check_group_count(df: DataFrame, group: str, folds: int) -> None:

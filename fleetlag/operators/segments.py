@@ -110,7 +110,8 @@ def running(
             return F.coalesce(w, c)
         return F.greatest(w, c) if kind == "max" else F.least(w, c)
 
-    return scanned.join(inflow, [*keys, *segs]).select(
+    # a merge: both sides are as long as the table or its segments, but small files or exploded rows look few to Spark
+    return scanned.hint("merge").join(inflow, [*keys, *segs]).select(
         *df.columns, *[joined(n, kind).alias(n) for n, (kind, _) in outs.items()]
     )
 

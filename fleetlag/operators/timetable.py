@@ -72,7 +72,7 @@ def prepare_plan(plan: DataFrame) -> DataFrame:
         .drop("__start", "__first")
     )
     lengths = trips.groupBy("tr_id", "trip").agg(F.count(F.lit(1)).alias("trip_len"))
-    return trips.join(lengths, ["tr_id", "trip"]).withColumn("key", X.stop_key("lat", "lon"))
+    return trips.hint("merge").join(lengths, ["tr_id", "trip"]).withColumn("key", X.stop_key("lat", "lon"))
 
 
 def trip_lines(plan: DataFrame) -> DataFrame:

@@ -295,9 +295,9 @@ def build_features(points: DataFrame, plan: DataFrame, telemetry: DataFrame, hin
         telemetry,
     )
     full = (
-        base.join(motion_aggregates(recent_fixes(slim, telemetry, 900.0)), "sample_id", "left")
-        .join(route_positions(base, prepared), "sample_id", "left")
-        .join(known, "sample_id", "left")
+        base.hint("merge").join(motion_aggregates(recent_fixes(slim, telemetry, 900.0)), "sample_id", "left")
+        .hint("merge").join(route_positions(base, prepared), "sample_id", "left")
+        .hint("merge").join(known, "sample_id", "left")
     )
     if hint == "gps":
         full = full.withColumn("cur_dev_s", gps_delay())

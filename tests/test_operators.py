@@ -14,6 +14,7 @@ from fleetlag.operators.joins import asof_join, interval_join, require_aligned
 from fleetlag.operators.quantiles import quantiles
 from fleetlag.operators.routes import route_ids
 from fleetlag.operators.segments import bucket, islands, previous, running
+from fleetlag.operators.timetable import prepare_plan
 
 
 def test_running_equals_plain_scan_for_a_hot_key(spark):
@@ -239,3 +240,16 @@ def test_draws_and_derived_plans_are_merged_not_broadcast(spark, tmp_path):
     )
     for made in (D.plan(spark, tmp_path), D._moments(spark, tmp_path, 3, 60)):
         assert "strategy=merge" in joins(made.join(made.select("tr_id").withColumn("x", F.lit(1)), "tr_id"))
+
+
+def test_scans_trips_and_folds_are_merged_not_broadcast(spark):
+    plan = spark.createDataFrame([(1, 1, 0.0, 55.0, 37.0), (2, 1, 60.0, 55.0, 37.1)], city.PLAN)
+    rows = spark.createDataFrame([(g % 7, float(g)) for g in range(21)], "run long, t double")
+    for made in (
+        running(rows, ["run"], ["t"], [bucket("t", 5)], {"n": ("count", None)}),
+        prepare_plan(plan),
+        B.group_folds(rows, "run", 3),
+    ):
+        made.collect()
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
