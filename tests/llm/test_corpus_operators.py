@@ -151,6 +151,14 @@ def test_induced_order_equals_a_plain_sort():
         assert all(a.ljust(64, b"\0") <= b.ljust(64, b"\0") for a, b in zip(first, first[1:]))
 
 
+def test_names_are_sorted_within_their_groups():
+    rng = np.random.default_rng(4)
+    group, values = np.sort(rng.integers(0, 300, 2000)), rng.integers(0, 40, 2000).astype(np.uint64)
+    order = op6_suffix_array.by_group(group, values)
+    assert sorted(order.tolist()) == list(range(2000))
+    assert list(zip(group[order], values[order])) == sorted(zip(group, values))
+
+
 def test_substrings(docs, none):
     names = "doc_id n_words n_removed kept_sha256"
     same(op8_substrings.dedup(docs), names, brute.word_dedup(ROWS))
