@@ -25,6 +25,11 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
+def part_order(part: np.ndarray, parts: int) -> np.ndarray:
+    """The stable order by part; two bytes a part are sorted by digits, several times as fast."""
+    return np.argsort(part.astype(np.uint16) if parts <= 2**16 else part, kind="stable")
+
+
 def packed(doc_ids, hashes, counts, keys, parts: int) -> pa.RecordBatch:
     """Rows of ``PACKED`` from documents whose keys lie behind one another (``counts`` keys each)."""
     row = np.repeat(np.arange(len(counts)), counts)

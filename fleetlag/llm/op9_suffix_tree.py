@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlag.llm.exchange import part_of
+from fleetlag.llm.exchange import part_of, part_order
 from fleetlag.llm.texts import BASE, ascii_lower, byte_sums, fold, keyed, mixed, part_count, span, steps, utf8, word_spans
 from fleetlag.session import cut_lineage, discard
 
@@ -70,7 +70,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     if not len(k):
         return k, c
@@ -81,7 +81,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def count_batch(keys, counts, parts: int) -> pa.RecordBatch:
     k, c = merged(keys, counts)
     part = part_of(k, parts)
-    order = np.argsort(part, kind="stable")
+    order = part_order(part, parts)
     part, k, c = part[order], k[order], c[order]
     cuts = np.searchsorted(part, np.arange(parts + 1))
     live = np.flatnonzero(np.diff(cuts)).tolist()
@@ -242,7 +242,7 @@ def passed(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _distinct(contexts, suffixes, counts):
     keys = joined(contexts, suffixes)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     many = np.add.reduceat(counts[order], start) if len(k) else counts
@@ -257,7 +257,7 @@ def sequence_counts(train: DataFrame, sieves: list) -> DataFrame:
     def block(held):
         k, c, s, many = _distinct(*[np.concatenate(x) for x in zip(*held)])
         part = part_of(k, parts)
-        order = np.argsort(part, kind="stable")
+        order = part_order(part, parts)
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         live = np.flatnonzero(np.diff(cuts)).tolist()
         cut = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in live], pa.binary())
@@ -485,7 +485,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 out.append((int(part_of(keys[:1], parts)[0]), name, 0, ids[first:last].tobytes(), facts.astype(np.float64).tobytes()))
                 for kind, asked, asked_row in ((1, keys[outside], row[outside]), (2, longer, longer_row)):
                     part = part_of(asked, parts)
-                    order = np.argsort(part, kind="stable")
+                    order = part_order(part, parts)
                     cuts = np.searchsorted(part[order], np.arange(parts + 1))
                     for p in np.flatnonzero(np.diff(cuts)).tolist():
                         at = order[cuts[p] : cuts[p + 1]]
