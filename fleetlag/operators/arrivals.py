@@ -185,20 +185,35 @@ def known_arrivals(points: DataFrame, prepared: DataFrame, telemetry: DataFrame)
     arrow = to_arrow_schema(schema)
 
     def answer(asked_rows: pa.Table, stop_rows: pa.Table) -> pa.Table:
-        day = stop_rows.sort_by([("t_plan", "ascending"), ("stop_id", "ascending")]).to_pylist()
+        stop_rows = stop_rows.sort_by([("t_plan", "ascending"), ("stop_id", "ascending")])
+        day = [s | {"row": i} for i, s in enumerate(stop_rows.select(["t_plan", "pos", "departs", "near"]).to_pylist())]
         times = [s["t_plan"] for s in day]
-        out = []
-        for p in asked_rows.to_pylist():
-            lo = bisect_left(times, p["T"] - S.HISTORY_S)
-            hi = bisect_right(times, p["T"] + S.EARLY_LOOKAHEAD_S)
-            mine = [s for s in day[lo:hi] if s["pos"] < p["target_pos"]]
-            found, _ = fold_stops(mine, p["T"] - S.HISTORY_S, p["T_cut"])
-            known = [
-                {k: s[k] for k in ("pos", "t_plan", "key", "t_next")} | {"t_arr": arr, "dwell_s": dwell}
-                for s, arr, dwell, _ in found
-            ]
-            out.append({"sample_id": p["sample_id"], "known": known})
-        return pa.Table.from_pylist(out, schema=arrow)
+        asks: dict = {}  # copies of a point differ in what they lost: they share the stops before it
+        for p in asked_rows.select(["sample_id", "T", "T_cut", "target_pos"]).to_pylist():
+            asks.setdefault((p["T"], p["target_pos"]), {}).setdefault(p["T_cut"], []).append(p["sample_id"])
+        ids, ends, rows, arrived, dwelt = [], [0], [], [], []
+        for (t, target_pos), cuts in asks.items():
+            lo = bisect_left(times, t - S.HISTORY_S)
+            hi = bisect_right(times, t + S.EARLY_LOOKAHEAD_S)
+            mine = [s for s in day[lo:hi] if s["pos"] < target_pos]
+            early = min(cuts)
+            reached = sum(s["t_plan"] + S.ARRIVAL_AFTER_S <= early for s in mine)
+            settled, state = fold_stops(mine[:reached], t - S.HISTORY_S, early)
+            for cut, samples in cuts.items():
+                found = settled + fold_stops(mine[reached:], t - S.HISTORY_S, cut, state)[0]
+                for sample in samples:
+                    ids.append(sample)
+                    rows += [s["row"] for s, *_ in found]
+                    arrived += [f[1] for f in found]
+                    dwelt += [f[2] for f in found]
+                    ends.append(len(rows))
+        taken = stop_rows.select(["pos", "t_plan", "key", "t_next"]).take(pa.array(rows, pa.int64())).combine_chunks()
+        found_type = arrow.field("known").type
+        columns = {c: taken.column(c).combine_chunks() for c in taken.column_names}
+        columns |= {"t_arr": pa.array(arrived, pa.float64()), "dwell_s": pa.array(dwelt, pa.float64())}
+        found_rows = pa.StructArray.from_arrays([columns[f.name] for f in found_type.value_type], fields=list(found_type.value_type))
+        known = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found_rows, type=found_type)
+        return pa.Table.from_arrays([pa.array(ids, pa.string()), known], schema=arrow)
 
     return (
         asked.groupBy("tr_id", "seg")

@@ -1,5 +1,7 @@
 """Error metrics, rank metrics, bootstrap intervals and service figures."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from fleetlag.operators.quantiles import quantiles
 from fleetlag.operators.segments import bucket, running
 
 DRAW_BLOCK = 65_536  # draws generated by one task
+DRAWS_AT_ONCE = 1 << 20  # draws packed together
+GROUP_BITS = 12  # a block of numbered groups; a draw's place in it takes two bytes
+SAMPLE_SHIFT = 40  # a draw as one number: its sample above the number of its group
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,15 +166,39 @@ def tick_report(telemetry: DataFrame, predictions: DataFrame) -> DataFrame:
 def paired_interval(
     df: DataFrame, difference: str, group: str, level: float = 0.9, samples: int = 2000, seed: int = 0
 ) -> DataFrame:
-    """Bootstrap interval of the mean difference, resampling whole groups.
+    """Bootstrap interval of the mean difference, resampling whole groups; one row."""
+    tail = (1 - level) / 2
+    means = _resampled_means(df, [difference], group, samples, seed)
+    return quantiles(means, [], "mean", {"lo": ("cont", tail), "hi": ("cont", 1 - tail)})
+
+
+def paired_intervals(
+    df: DataFrame, differences: list[str], group: str, level: float = 0.9, samples: int = 2000, seed: int = 0
+) -> DataFrame:
+    """``difference`` (its place in the list), ``lo, hi`` of several columns over the same draws of groups.
+
+    Each is the interval that :func:`paired_interval` gives; one without a mean has no row.
+    """
+    tail = (1 - level) / 2
+    means = _resampled_means(df, differences, group, samples, seed)
+    return quantiles(means, ["difference"], "mean", {"lo": ("cont", tail), "hi": ("cont", 1 - tail)})
+
 
-    Groups collapse to a sum and a count. A sample draws as many groups as there are, by a hash of
+def _resampled_means(df: DataFrame, differences: list[str], group: str, samples: int, seed: int) -> DataFrame:
+    """``sample, difference, mean`` of every bootstrap sample.
+
+    Groups collapse to sums and counts. A sample draws as many groups as there are, by a hash of
     (seed, sample, draw), so a lost executor draws the same again. Draws are generated in blocks
-    spread over the cluster and joined to numbered groups; every sample is a partial aggregate. The
-    join is a merge: Spark takes the draws for as few as their blocks and would broadcast them.
+    spread over the cluster, travel packed to the block of numbered groups they fall into, two bytes
+    a draw, and are added up there for all columns at once. A block of groups holds some ``samples``
+    times ``2 ** GROUP_BITS`` draws at any number of groups.
     """
     spark = df.sparkSession
-    sums = df.groupBy(group).agg(F.sum(difference).alias("s"), F.count(difference).alias("c"))
+    width = len(differences)
+    sums = df.groupBy(group).agg(
+        F.array(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) for c in differences]).alias("s"),
+        F.array(*[F.count(c).cast("double") for c in differences]).alias("c"),
+    )
     numbered = running(
         sums.withColumn("__h", F.xxhash64(group)), [], ["__h", group], [F.expr("shiftright(__h, 52)")],
         {"__g": ("count", None)}, inclusive=False,
@@ -183,19 +212,62 @@ def paired_interval(
         beside(spark.range(samples).withColumnRenamed("id", "sample"), groups)
         .where("groups > 0")
         .select("sample", "groups", F.explode(blocks).alias("block"))
-        .repartition("sample", "block")
+        # a given number: the few rows before the draws are made would be dealt to a single task
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample", "block")
         .select("sample", "groups", F.explode(in_block).alias("draw"))
         .select("sample", F.pmod(F.xxhash64("sample", "draw", F.lit(seed)), F.col("groups")).alias("__g"))
-        .groupBy("sample", "__g")
-        .agg(F.count(F.lit(1)).alias("times"))
     )
-    means = (
-        draws.hint("merge").join(numbered, "__g")
-        .groupBy("sample")
-        .agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("c"))).alias("mean"))
+
+    def add_up(drawn: pa.Table, of_groups: pa.Table) -> pa.Table:
+        table = np.zeros((1 << GROUP_BITS, 2 * width))
+        place = of_groups.column("__g").to_numpy() & ((1 << GROUP_BITS) - 1)
+        for k, name in enumerate(("s", "c")):
+            values = of_groups.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            table[place, k * width : (k + 1) * width] = values.reshape(-1, width)
+        sample, at = np.unique(drawn.column("sample").to_numpy(), return_inverse=True)
+        total = np.zeros((len(sample), 2 * width))
+        for i, numbers in zip(at, drawn.column("drawn")):
+            total[i] += table[np.frombuffer(numbers.as_buffer(), dtype=np.uint16)].sum(axis=0)
+        columns = [
+            np.repeat(sample, width), np.tile(np.arange(width, dtype=np.int32), len(sample)),
+            total[:, :width].ravel(), total[:, width:].ravel(),
+        ]
+        return pa.table(dict(zip(("sample", "difference", "s", "c"), columns)))
+
+    number = numbered.withColumn("block", F.shiftright("__g", GROUP_BITS))
+    packed = draws.mapInArrow(_packed_draws, "block bigint, sample bigint, drawn binary")
+    added = (
+        packed.groupBy("block")
+        .cogroup(number.groupBy("block"))
+        .applyInArrow(add_up, "sample bigint, difference int, s double, c double")
     )
-    tail = (1 - level) / 2
-    return quantiles(means, [], "mean", {"lo": ("cont", tail), "hi": ("cont", 1 - tail)})
+    mean = F.when(F.sum("c") > 0, F.sum("s") / F.sum("c"))
+    return added.groupBy("sample", "difference").agg(mean.alias("mean"))
+
+
+def _packed_draws(batches):
+    """``(sample, number of a group)`` as one row for each sample and block of groups in a stretch of draws."""
+
+    def pack(codes):
+        code = np.sort(np.concatenate(codes))
+        head = code >> GROUP_BITS
+        starts = np.flatnonzero(np.diff(head, prepend=-1))
+        places = np.split((code & ((1 << GROUP_BITS) - 1)).astype(np.uint16), starts[1:])
+        sample, block = head[starts] >> (SAMPLE_SHIFT - GROUP_BITS), head[starts] & ((1 << (SAMPLE_SHIFT - GROUP_BITS)) - 1)
+        arrays = [pa.array(block), pa.array(sample), pa.array([p.tobytes() for p in places], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "sample", "drawn"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            sample, number = (batch.column(c).to_numpy() for c in ("sample", "__g"))
+            held.append(sample << SAMPLE_SHIFT | number)
+            rows += batch.num_rows
+        if rows >= DRAWS_AT_ONCE:
+            yield pack(held)
+            held, rows = [], 0
+    if held:
+        yield pack(held)
 
 
 def arrival_quality(found: DataFrame, facts: DataFrame) -> DataFrame:

@@ -142,6 +142,33 @@ def test_bootstrap_interval(spark):
     assert one.lo == one.hi == 1.5
 
 
+def test_intervals_of_several_columns_share_their_draws(spark, monkeypatch):
+    monkeypatch.setattr(ME, "GROUP_BITS", 4)
+    monkeypatch.setattr(ME, "DRAWS_AT_ONCE", 700)
+    rows = [(g, (g * 37 % 19) / 7, float(g % 5) if g % 3 else None, None) for g in range(50) for _ in range(g % 4 + 1)]
+    df = spark.createDataFrame(rows, "g bigint, d double, e double, none double")
+    found = ME.paired_intervals(df, ["d", "none", "e"], "g", samples=60)
+    got = {r.difference: (r.lo, r.hi) for r in found.collect()}
+    draws = spark.range(60).crossJoin(spark.range(50).withColumnRenamed("id", "draw")).select(
+        F.col("id").alias("sample"), F.pmod(F.xxhash64("id", "draw", F.lit(0)), F.lit(50)).alias("n")
+    ).collect()
+    order = [r.g for r in df.select("g").distinct().withColumn("h", F.xxhash64("g")).orderBy("h", "g").collect()]
+    for place, column in ((0, 1), (2, 2)):
+        means = []
+        for sample in range(60):
+            taken = [r[column] for x in draws if x.sample == sample for r in rows if r[0] == order[x.n] and r[column] is not None]
+            means.append(sum(taken) / len(taken))
+        means.sort()
+        low, high = (means[int(p)] + (means[int(p) + 1] - means[int(p)]) * (p - int(p)) for p in (0.05 * 59, 0.95 * 59))
+        assert got.pop(place) == pytest.approx((low, high))
+        one = ME.paired_interval(df, "de"[place // 2], "g", samples=60).first()
+        assert (one.lo, one.hi) == pytest.approx((low, high))
+    assert not got  # a column without values has no interval
+    assert ME.paired_interval(df, "none", "g", samples=60).first().lo is None
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(sample") == ME.paired_interval(df, "d", "g")._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(sample")
+
+
 # --- the detector's rules -----------------------------------------------------------------------
 
 DAY = 1767657600.0  # 2026-01-06 00:00 UTC
