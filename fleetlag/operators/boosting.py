@@ -7,9 +7,14 @@ Under absolute loss a leaf is the weighted median of its residuals (exact for re
 one of two), found in two passes over the halves of the residual's bits; under logistic loss it is a Newton step.
 
 The models of all folds and the one of all rows grow in the same passes, so cross-validation costs the jobs of one
-fit. Of two children only the left one is counted, the right one is the rest of its parent. Sums of a few tasks are
-added up by the driver, those of more meet in a shuffle. Gradients are whole multiples of ``1 / SCALE``: sums do not depend on partitions or on repeated tasks. Margins are
-written every ``flush`` trees; in between a task applies the few newest trees itself, so nothing is cached.
+fit. Of two children only the left one is counted, the right one is the rest of its parent. Gradients are whole multiples
+of ``1 / SCALE``: sums do not depend on partitions or on repeated tasks.
+
+Where the bins of all rows are few (``HELD_BYTES``), a task for each model holds them and grows many trees in one job; the
+driver adds up the held-out errors of the models after 32 trees, 64 more, 128 more, and drops the trees beyond the end. More
+rows take a job for each pass over all models. Sums of a few tasks are then added up by the driver, those of more meet in a
+shuffle; margins are written every ``flush`` trees, in between a task applies the few newest trees itself, so nothing is
+cached. Both give the same trees.
 
 Rows without a label, or with a weight of NULL or zero, train nothing. NaN counts as NULL. An empty table gives models
 of no trees. Equal gains go to the first feature, then the lowest cut, then NULL to the left.
@@ -32,6 +37,8 @@ NULL_BIN = 255
 LOSSES = ("absolute", "logistic")
 TASK_ROWS = 250_000  # rows of a task; histograms are small against them
 FEW_TASKS = 4  # up to so many tasks hand their sums to the driver without a shuffle
+HELD_BYTES = 50_000_000  # bins that one task may hold: 1.1 million rows of 43 features
+HELD_TREES = 32  # trees of the first job over held rows
 
 
 @dataclass(frozen=True)
@@ -401,6 +408,33 @@ class _Fit:
         self.recent = [[] for _ in range(models)]
 
 
+class _Held(_Fit):
+    """The passes of one model, over rows that a task keeps in memory."""
+
+    def __init__(self, rows: _Rows, edges: list, config: BoostConfig):
+        self.rows, self.edges, self.models, self.config = rows, edges, 1, config
+        self.written, self.newest, self.count = rows.margins.copy(), np.zeros_like(rows.margins), 0
+
+    def _sums(self, per_task) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.asarray(v, dtype=np.int64) for v in per_task([self.rows]))
+
+    def keep(self, trees: list[Tree]) -> None:
+        # added in the order of the passes that write margins, so that both round alike
+        self.newest[:, 0] += added(trees, self.rows.bins, self.config.step)
+        self.rows.margins = self.written + self.newest
+        self.count += 1
+        if self.count % self.config.flush == 0:
+            self.written, self.newest = self.rows.margins.copy(), np.zeros_like(self.newest)
+
+
+def _rows_held(batches, width: int) -> _Rows:
+    parts = [_rows_of(x, width, 1, [[]], 0.0) for x in batches if x.num_rows]
+    if not parts:
+        none = np.zeros(0)
+        return _Rows(np.zeros((0, width), dtype=np.uint8), none, none, none.astype(int), none.astype(bool), np.zeros((0, 1)))
+    return _Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("bins", "y", "weight", "fold", "held", "margins")))
+
+
 def ordered_bits(x: np.ndarray) -> np.ndarray:
     """Single-precision values as whole numbers of the same order."""
     bits = (x.astype(np.float32) + np.float32(0)).view(np.uint32).astype(np.int64)
@@ -470,25 +504,96 @@ class Growth:
                 arrays = [pa.array([r.tobytes() for r in codes], pa.binary()), *[batch.column(c) for c in ("y", "w", "fold", "held", "margins")]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bins", "y", "w", "fold", "held", "margins"])
 
-        parts = max(1, -(-rows.count() // TASK_ROWS))
+        count = rows.count()
+        parts = max(1, -(-count // TASK_ROWS))
         state = rows.coalesce(parts).mapInArrow(pack, "bins binary, y double, w double, fold int, held boolean, margins array<double>")
         self.work = work = _Fit(cut_lineage(state), edges, models, config, parts)
         starts = _starts(work, config, offsets is not None)
-        self.models = [BoostedTrees(list(features), edges, config.step, float(s)) for s in starts]
+        self._models = [BoostedTrees(list(features), edges, config.step, float(s)) for s in starts]
         if any(starts):
             shift = F.array(*[F.lit(float(s)) for s in starts])
             work.state = cut_lineage(work.state.withColumn("margins", F.zip_with("margins", shift, lambda a, b: a + b)))
         self.usable = any(len(e) for e in edges)
+        self.held = count * len(features) <= HELD_BYTES
+        self.asked = 0
+
+    @property
+    def models(self) -> list[BoostedTrees]:
+        """The models with all trees that were asked for."""
+        due, self.asked = self.asked, 0
+        if due:
+            self.hold(due)
+        return self._models
 
     def keep(self, trees: list[Tree]) -> None:
-        for m, t in zip(self.models, trees):
+        for m, t in zip(self._models, trees):
             m.trees.append(t)
         self.work.keep(trees)
 
     def more(self) -> None:
-        """One tree more of every model, up to the number of the configuration."""
-        if self.usable and len(self.models[-1].trees) < self.work.config.trees:
-            self.keep(self.work.grow()[0])
+        """One tree more of every model, up to the number of the configuration; held rows wait until the models are read."""
+        if self.usable and len(self._models[-1].trees) + self.asked < self.work.config.trees:
+            if self.held:
+                self.asked += 1
+            else:
+                self.keep(self.work.grow()[0])
+
+    def hold(self, trees: int, folds: int = 0) -> list:
+        """Up to ``trees`` trees more of every model over held rows; the held-out errors, where there are folds."""
+        curve, best, made, due = [], 0, 0, HELD_TREES
+        while made < trees or (folds and not curve):
+            count = min(due, trees - made) if folds else trees
+            errors = self._held_trees(count)
+            # the error after the last tree is that before the next one
+            for n in range(made, made + count + (made + count == trees) if folds else 0):
+                lost, rows = (sum(e[n - made][i] for e in errors) for i in range(2))
+                curve.append(lost / SCALE / rows if rows else float("nan"))
+                if n < trees:
+                    best = n if n == 0 or curve[n] < curve[best] else best
+                    if n - best >= self.work.config.patience:
+                        for m in self._models:
+                            del m.trees[len(m.trees) - (made + count - n) :]
+                        return curve
+            made, due = made + count, 2 * due
+        return curve
+
+    def _held_trees(self, count: int) -> list:
+        """Grow ``count`` trees of every model; by model the held-out error, in parts, and its rows before each tree and at the end."""
+        edges, config, before = self.work.edges, self.work.config, [m.trees for m in self._models]
+
+        def run(batches):
+            model, rows = None, []
+            for batch in batches:
+                if batch.num_rows:
+                    model = batch.column("model")[0].as_py()
+                    rows.append(batch)
+            if model is None:
+                return
+            held = _Held(_rows_held(rows, len(edges)), edges, config)
+            for t in before[model]:
+                held.keep([t])
+            grown, errors = BoostedTrees([], [], config.step), []
+            for _ in range(count):
+                errors.append(_loss(held.rows, config.loss))
+                made, _ = held.grow()
+                held.keep(made)
+                grown.trees += made
+            errors.append(_loss(held.rows, config.loss))
+            arrays = [pa.array([model], pa.int32()), pa.array([grown.to_json()]), pa.array([json.dumps(errors)])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["model", "trees", "errors"])
+
+        models = len(self._models)
+        mine = F.col("fold") == F.col("model")
+        rows = self.work.state.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).select(
+            "bins", "y", "w", F.when(mine, 0).otherwise(-1).alias("fold"), (F.col("held") & F.coalesce(mine, F.lit(False))).alias("held"),
+            F.array(F.element_at("margins", F.col("model") + 1)).alias("margins"), "model",
+        )
+        told = rows.repartitionById(models, "model").mapInArrow(run, "model int, trees string, errors string").collect()
+        errors = []
+        for r in sorted(told):
+            self._models[r.model].trees += BoostedTrees.from_json(r.trees).trees
+            errors.append(json.loads(r.errors))
+        return errors
 
 
 def fit(
@@ -500,10 +605,15 @@ def fit(
 
     ``offsets`` are what each of them starts from in a row (the trees come on top), ``held`` marks the rows on which the
     held-out error is measured. It ends a fit with folds after ``patience`` trees without a lower one. ``alongside`` is
-    called while a tree grows, once for each, so that another model keeps step with this fit.
+    called once for each tree, while it grows or after a fit of held rows, so that another model keeps step with this fit.
     """
     growth = Growth(table, features, label, config, weight, fold, folds, held, offsets, edges)
     work, curve, best = growth.work, [], 0
+    if growth.held and growth.usable:
+        curve = growth.hold(config.trees, folds)
+        for _ in growth.models[-1].trees if alongside else ():
+            alongside()
+        return Boosting(growth.models, curve)
     with ThreadPoolExecutor(1) as pool:
         for n in range(config.trees + 1 if growth.usable else 0):
             if n == config.trees:

@@ -182,3 +182,31 @@ def test_another_model_keeps_step(table):
     assert got.best <= len(other.models[-1].trees) <= len(got.curve)
     alone = BO.fit(table.where("fold < 2"), NAMES, "y", BO.BoostConfig(trees=got.best, depth=2, step=0.8, bins=16))
     assert other.models[-1].prefix(got.best).to_json() == alone.models[-1].to_json()
+
+
+@pytest.mark.parametrize("loss, label", [("absolute", "y"), ("logistic", "late")])
+def test_held_rows_give_the_trees_of_passes(table, monkeypatch, loss, label):
+    config = BO.BoostConfig(trees=14, depth=2, step=0.8, l2=1.0, bins=16, patience=3, loss=loss, flush=3)
+    edges, fits = BO.bin_edges(table, NAMES, 16), []
+    for held_bytes, held_trees in ((50_000, 32), (50_000, 2), (0, 32)):  # one job, several, a job for each pass
+        monkeypatch.setattr(BO, "HELD_BYTES", held_bytes)
+        monkeypatch.setattr(BO, "HELD_TREES", held_trees)
+        other = BO.Growth(table.where("fold < 2"), NAMES, label, config, edges=edges)
+        assert other.held == (held_bytes > 0)
+        got = BO.fit(table, NAMES, label, config, weight=F.col("w"), fold=F.col("fold"), folds=3, edges=edges, alongside=other.more)
+        kept = len(other.models[-1].trees)
+        assert got.best <= kept <= len(got.curve)
+        other.more()  # goes on where it stood
+        assert len(other.models[-1].trees) == min(kept + 1, 14)
+        fits.append(([m.to_json() for m in got.models], got.curve, other.models[-1].prefix(got.best + 1).to_json()))
+    assert fits[0] == fits[1] == fits[2]
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_trees(spark, table):
+    jobs = []
+    for trees in (2, 9):
+        spark.sparkContext.setJobGroup(f"trees {trees}", "")
+        assert len(BO.fit(table, NAMES, "y", BO.BoostConfig(trees=trees, depth=2, bins=8)).models[-1].trees) == trees
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees {trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1]
