@@ -257,6 +257,26 @@ def test_outage_equals_cut_track(spark, looping):
     assert any(r.fixes_15m > rows[r.sample_id].fixes_15m for r in blanks)
 
 
+def test_copies_of_a_point_know_what_each_would_alone(spark, looping):
+    plan, fixes, points = looping
+    p, f = frames(spark, plan, fixes)
+    prepared = prepare_plan(p)
+    pos = {r.stop_id: r.pos for r in prepared.collect()}
+    asks = [
+        (f"{q[0]}/{gap}/{copy}", 1, q[2], q[2] - gap, pos[q[3]])
+        for q in points[10:14] for gap, copy in ((0.0, 0), (300.0, 0), (300.0, 1), (2000.0, 0))
+    ]
+    schema = "sample_id string, tr_id bigint, T double, T_cut double, target_pos bigint"
+    known = lambda rows: {r.sample_id: r.known for r in A.known_arrivals(spark.createDataFrame(rows, schema), prepared, f).collect()}
+    together = known(asks)
+    assert len(together) == len(asks)
+    for gap in ("0.0/0", "300.0/0", "300.0/1", "2000.0/0"):
+        alone = known([a for a in asks if a[0].endswith(f"/{gap}")])
+        assert alone and all(together[k] == v for k, v in alone.items())
+    first = points[10][0]
+    assert len(together[f"{first}/0.0/0"]) > len(together[f"{first}/2000.0/0"]) > 0
+
+
 def test_layover_features(spark):
     plan = city.plan_rows(1, 30, 60.0, {19: 480.0})
     p, f = frames(spark, plan, city.track_rows(plan, [0.0] * 30))
